@@ -53,3 +53,11 @@ def unstage(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are over: it acts on what the JVM has collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
