@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +59,8 @@ def unstage(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that are over: it acts on what the JVM has collected."""
-    import gc
-
     gc.collect()
-    spark._jvm.System.gc()
+    spark.range(1).count()  # the scheduler holds on to the last job
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.4)
