@@ -6,11 +6,11 @@ n - ceil(t n) + 1, and l shingles in prefixes that are l - 1 longer. Each docume
 cost least, from how many prefixes hold its shingles; a pair is verified on the full sets only if it shares as many
 prefix shingles as the smaller l of the two.
 
-Equal sets are one class from the start. What is asked for is groups, so of a large bucket of documents that share a
-prefix shingle not all pairs are made: one member, the pivot, is compared with all others; where that leaves several
-groups in a bucket, small buckets (BUCKET members) get all pairs across groups, and large ones the next pivots, until no
-bucket holds two groups of which a pair is untested. No link between two groups is lost, as every pair in a bucket is in
-one group, out of the size bound, or tested.
+Equal sets are one class from the start. What is asked for is groups, so of the documents in a bucket (those that share
+a prefix shingle) not all pairs are made: first one member, the pivot, is compared with all others. Most buckets then
+hold one group and are done. In the others all pairs across groups are tested: listed where the bucket is small, and in
+tiles of bounded size by a product of matrices where it is large; there the product costs less than the filter would.
+No link between two groups is lost: each pair in a bucket is in one group, out of the size bound, or tested.
 
 Defined results: null texts and texts without a word have the empty set and link with nothing; rows that repeat a doc_id
 are one node, linked to all that any of them is; a null doc_id has a null component. Texts are read whole.
@@ -36,15 +36,16 @@ from cardwright.session import release
 WIDTH = 5
 #: Similarity of a link, in hundredths.
 LEAST = 80
+#: Slots of the parities that tell most pairs apart without their texts.
+PARITY = 2048
 #: Longest prefix: so many shingles more than the plain one.
 EXTRA = 3
-#: All pairs across groups are made of buckets of so many members.
-BUCKET = 48
+#: Of buckets of so many members all pairs across groups are listed; of larger ones they are made in tiles.
+BUCKET = 16
+TILE = 256
 #: Slots of the sketch, as a power of two, and of the filter of documents that need their text.
 SLOT_BITS = 20
 CHUNKS = 64
-#: Round k picks about this to the power of k pivots in each large bucket.
-PIVOTS = 4
 
 
 def summaries(docs: DataFrame, width: int) -> DataFrame:
@@ -144,8 +145,14 @@ def slot(doc: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc), 64 - SLOT_BITS).cast("int")
 
 
-def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, data (compressed text) of the wanted documents and a few more: a filter of fixed size passes them."""
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each of PARITY slots: whether an odd number of shingles fall in it. As many bits of two sets differ, as
+    many shingles at least are in one of them alone."""
+    return np.packbits(np.bincount((own & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1 > 0).tobytes()
+
+
+def packed_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc, n, bits (parities), data (compressed text) of the wanted documents and a few more: a filter of fixed size passes them."""
     bits = np.zeros(1 << SLOT_BITS, bool)
     bits[wanted.select(slot(F.col("doc")).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -154,10 +161,28 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         kept, packer = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(level=3)
         for b in batches:
             b = b[kept[b["slot"].to_numpy(np.int64)]]
-            yield pd.DataFrame({"doc": b["doc_id"], "data": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
+            own = sets(list(b["text"]), width)
+            yield pd.DataFrame({"doc": b["doc_id"], "n": [len(x) for x in own], "bits": list(map(parity, own)), "data": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
 
     rows = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot(F.col("doc_id")))
-    return staged(rows.mapInPandas(pack, "doc long, data binary"), "texts")
+    return staged(rows.mapInPandas(pack, "doc long, n long, bits binary, data binary"), "texts")
+
+
+def plausible(pairs: DataFrame, data: DataFrame, least: int) -> DataFrame:
+    """Those pairs (a, b, level) whose parities don't tell that the sets differ in more shingles than similar ones can."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("bits_a", "bits_b"))
+            both = (b["n_a"] + b["n_b"]).to_numpy(np.int64)
+            differ = both - 2 * -(-least * both // (100 + least))
+            yield b.loc[np.bitwise_count(x ^ y).sum(1) <= differ, ["a", "b", "level"]]
+
+    for side in ("a", "b"):
+        pairs = pairs.join(data.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
+    return staged(pairs.mapInPandas(check, "a long, b long, level int"), "plausible")
 
 
 def verified(pairs: DataFrame, data: DataFrame, width: int, least: int, common) -> DataFrame:
@@ -214,6 +239,7 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
 
     tokens = staged(prefixes(docs, width, least, common), "prefixes")
     shared = staged(tokens.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("many")).where("x < y").select("token", "many"), "shared-tokens")
+    release(spark)
     marked = staged(tokens.join(shared.hint("merge"), "token"), "buckets")
     unstage(tokens, shared)
     release(spark)
@@ -226,63 +252,95 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
     base = marked.where("extra = 0").select("token", "doc", "n").join(levels, "doc").join(own, "doc")
     buckets = staged(base.groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("level").alias("level")).withColumnRenamed("rep", "doc"), "buckets")
     unstage(marked)
-    data = packed_texts(docs, buckets)
+    release(spark)
+    data = packed_texts(docs, buckets, width)
     # rows of one doc_id are one node, so the classes of their sets are linked
     twice = own.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
     twice = staged(own.join(twice, "doc").select("a", F.col("rep").alias("b")).where("a < b"), "twice")
-    labels, tested, links = None, None, twice
-    if not twice.isEmpty():
-        labels = staged(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("group")), "groups")
-    turn = 0
-    while True:
-        now = buckets.withColumn("group", F.col("doc")) if labels is None else buckets.join(labels, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-        mixed = now.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("many")).where("g0 <> g1").select("token", "many")
-        mixed = staged(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        # the members of buckets of several groups; those of one group are done for good
-        old, buckets = buckets, staged(buckets.join(mixed.select("token").hint("merge"), "token", "left_semi"), "buckets")
-        unstage(old)
-        now = buckets.withColumn("group", F.col("doc")) if labels is None else buckets.join(labels.hint("merge"), "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-        now = staged(now, "members-now")
-        small = F.col("many") <= (BUCKET if turn else 0)
-        large = now.join(mixed.where(~small).hint("merge"), "token")
-        if turn:  # more pivots in each round, picked by a hash
-            unit = F.pmod(F.xxhash64(F.lit(turn), "token", "doc"), F.lit(1 << 30))
-            picked = large.where(unit * F.col("many") < (PIVOTS**turn << 30)).select("token", "doc", "n", "level", "group")
-        else:  # one for all buckets of a family, where it is in them
-            order = F.struct(F.xxhash64("doc").alias("o"), "doc", "n", "level", "group")
-            picked = large.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.doc", "p.n", "p.level", "p.group")
-        picked = staged(picked.toDF("token", "b", "m", "lb", "gb"), "pivots")
-        across = now.join(picked.hint("merge"), "token").where((F.col("group") != F.col("gb")) & fits(F.col("n"), F.col("m"), least))
-        pairs = across.select(F.col("doc").alias("a"), "b", F.least("level", "lb").alias("level"))
-        if turn:
-            few = now.join(mixed.where(small).select("token").hint("merge"), "token", "left_semi")
-            lists = few.groupBy("token").agg(F.collect_list(F.struct("doc", "n", "level", "group")).alias("all"))  # at most BUCKET
-            each = lists.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-            each = each.where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x.n"), F.col("y.n"), least))
-            pairs = pairs.union(each.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.least("x.level", "y.level").alias("level")))
-        pairs = pairs.select(F.col("a"), F.col("b"), "level").groupBy("a", "b").agg(F.min("level").alias("level"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        found = staged(verified(pairs, data, width, least, common), "links")
-        links = links.union(found)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        labels = staged(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("group")), "groups")
-        # what has been compared with its whole bucket leaves it
-        old = buckets
-        done = picked.select("token", F.col("b").alias("doc"))
-        buckets = buckets.join(done.hint("merge"), ["token", "doc"], "left_anti")
-        if turn:
-            buckets = buckets.join(mixed.where(small).select("token").hint("merge"), "token", "left_anti")
-        buckets = staged(buckets, "buckets")
-        unstage(old, now, picked)
-        release(spark)
-        turn += 1
+    links = twice
+    # first each bucket's pivot with all others: the same one for all buckets of a family that it is in
+    now = mixed_buckets(buckets, grouped(links))
+    order = F.struct(F.xxhash64("doc").alias("o"), "doc", "n", "level", "group")
+    pivots = staged(now.groupBy("token").agg(F.min(order).alias("y")), "pivots")
+    now = now.withColumn("x", F.struct("doc", "n", "level", "group"))
+    across = now.join(pivots.hint("merge"), "token").where((F.col("x.group") != F.col("y.group")) & fits(F.col("x.n"), F.col("y.n"), least))
+    pairs = staged(across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min(F.least("x.level", "y.level")).alias("level")), "pairs")
+    release(spark)
+    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least, common), "links"))
+    release(spark)
+    # then all pairs across groups, in the buckets where there are several left
+    labels = grouped(links)
+    now = mixed_buckets(now.drop("group", "many", "x"), labels)
+    few = now.where(F.col("many") <= BUCKET)
+    lists = few.groupBy("token").agg(F.collect_list(F.struct("doc", "n", "level", "group")).alias("all"))  # at most BUCKET
+    each = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["doc"] > F.col("x.doc")) & (y["group"] != F.col("x.group")) & fits(F.col("x.n"), y["n"], least))).alias("y"))
+    pairs = staged(each.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min(F.least("x.level", "y.level")).alias("level")), "pairs")
+    release(spark)
+    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least, common), "links"))
+    release(spark)
+    links = links.union(staged(tiled(now.where(F.col("many") > BUCKET), data, width, least), "links"))
+    release(spark)
+    labels = grouped(links)
     unstage(data)
-    groups = labels if labels is not None else spark.createDataFrame([], "doc long, group long")
-    return resolved(members, groups)
+    return resolved(members, labels)
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """doc, group of all documents with a link."""
+    return staged(connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("group")), "groups")
+
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several groups, with their group and the number of members."""
+    now = staged(buckets.join(labels, "doc", "left").withColumn("group", F.coalesce("group", "doc")), "grouped")
+    mixed = now.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("many")).where("g0 <> g1")
+    out = staged(now.join(staged(mixed.select("token", "many"), "mixed").hint("merge"), "token"), "mixed-buckets")
+    unstage(now)
+    return out
+
+
+def tiled(members: DataFrame, data: DataFrame, width: int, least: int) -> DataFrame:
+    """Links between groups in large buckets.
+
+    A bucket is dealt into parts of about TILE documents, and each two parts are a tile. In a tile the intersections of
+    all sets are one product of matrices, over the shingles that at least two of its documents hold; of the links a tile
+    returns those that join what it has not joined yet.
+    """
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc", "data"])
+        own = sets([zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in rows["data"]], width)
+        n, doc, group, part = np.array([len(x) for x in own]), rows["doc"].to_numpy(), rows["group"].to_numpy(), rows["part"].to_numpy()
+        names, code, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(own)), n)
+        both = many[code] > 1
+        column = (np.cumsum(many > 1) - 1)[code[both]]
+        row, shared = row[both], np.zeros((len(own), len(own)), np.float32)
+        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+            at = (column >= low) & (column < low + 4096)
+            block = np.zeros((len(own), 4096), np.float32)
+            block[row[at], column[at] - low] = 1
+            shared += block @ block.T
+        link = 100 * shared >= least * (n[:, None] + n[None, :] - shared)
+        link &= (group[:, None] != group[None, :]) & np.triu(np.ones_like(link), 1)
+        parent, out = {g: g for g in group.tolist()}, []
+        for x, y in zip(*np.nonzero(link)):
+            a, b = group[x], group[y]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((doc[x], doc[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    tiles = F.ceil(F.col("many") / TILE).cast("int")
+    dealt = members.withColumns({"tiles": tiles, "part": F.pmod(F.xxhash64("doc"), tiles).cast("int")})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc", "group", "part")
+    full = dealt.join(data.hint("merge"), "doc").select("token", "i", "j", "doc", "group", "part", "data")
+    return full.groupBy("token", "i", "j").applyInPandas(check, "a long, b long")
 
 
 def resolved(members: DataFrame, groups: DataFrame) -> DataFrame:
