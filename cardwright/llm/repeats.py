@@ -14,7 +14,7 @@ Documents are kept in blocks of some MB, a row each. Every pass first looks insi
 stretches or windows is left, and then sends one record for each to the digit's bucket. So a passage that a third of all
 documents hold meets at most once per block. Buckets answer each block; the blocks then put the answers together.
 
-Digits are 64-bit hashes; two windows count as equal if they agree in two of them, so in 128 bits.
+Digits are hashes; two windows count as equal if they agree in one of 64 bits and 32 bits of another, so in 96 bits.
 
 Defined results: a null text is an empty one. The earlier of two windows is that of the smaller doc_id (null first), then,
 for rows that repeat a doc_id, that of the earlier block and row. Texts are read whole; texts under WIDTH bytes lose nothing.
@@ -39,7 +39,7 @@ from cardwright.session import release
 
 WIDTH = 100
 GRAM = 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEYS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -169,17 +169,33 @@ def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def sent(block: int, bucket: np.ndarray, record: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket that gets any of the records."""
-    order = np.argsort(bucket, kind="stable")
+def sent(block: int, buckets: int, key: np.ndarray, more: np.ndarray, ids: np.ndarray, mixed: np.ndarray) -> pd.DataFrame:
+    """A row for each bucket that gets any of the records: 96 bits of digits, and packed ids and marks."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((ids, bucket))
     names, at = np.unique(bucket[order], return_index=True)
-    return pd.DataFrame([(int(b), block, x.tobytes()) for b, x in zip(names, np.split(record[order], at[1:]))], columns=["bucket", "block", "data"])
+    packer, rows = zstandard.ZstdCompressor(level=1), []
+    for name, pick in zip(names.tolist(), np.split(order, at[1:])):
+        rest = packer.compress(np.diff(ids[pick], prepend=np.int64(0)).tobytes() + np.packbits(mixed[pick]).tobytes())
+        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u4").tobytes(), rest))
+    return pd.DataFrame(rows, columns=["bucket", "block", "n", "digits", "rest"])
 
 
-STRETCH = np.dtype([("digit", "<u8"), ("kind", "<u8"), ("id", "<i8"), ("mixed", "?")])
-WINDOW = np.dtype([("window", "<u8"), ("digit", "<u8"), ("id", "<i8")])
+def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """key, more, id, mixed, block of all records that a bucket has got."""
+    out = []
+    for block, n, digits, rest in zip(rows["block"], rows["n"], rows["digits"], rows["rest"]):
+        raw = zstandard.decompress(rest)
+        ids = np.cumsum(np.frombuffer(raw, np.int64, n))
+        mixed = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool)
+        out.append((np.frombuffer(digits, "<u8", n), np.frombuffer(digits, "<u4", n, 8 * n), ids, mixed, np.full(n, block, np.int64)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+RECORDS = "bucket int, block long, n int, digits binary, rest binary"
 ANSWER = np.dtype([("digit", "<u8"), ("code", "u1")])
 REPEAT, MIXED = 1, 2
+HALF = np.uint64(0xFFFFFFFF)
 
 
 def local(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
@@ -207,38 +223,33 @@ def first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
                 pick = np.flatnonzero(first)
                 _, at = np.unique(s.digit[pick], return_index=True)  # of several kinds, one stands for all
                 pick = pick[at]
-                record = np.zeros(len(pick), STRETCH)
-                record["digit"], record["kind"], record["id"], record["mixed"] = s.digit[pick], s.kind[pick], s.ids[s.rank[pick]], mixed[pick]
-                yield sent(block, (record["digit"] % np.uint64(buckets)).astype(np.int64), record)
-
-    return blocks.mapInPandas(run, "bucket int, block long, data binary")
+                yield sent(block, buckets, s.digit[pick], s.kind[pick] & HALF, s.ids[s.rank[pick]], mixed[pick])
 
-
-def gathered(rows: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    each = [np.frombuffer(x, kind) for x in rows["data"]]
-    return np.concatenate(each), np.repeat(rows["block"].to_numpy(np.int64), [len(x) for x in each])
+    return blocks.mapInPandas(run, RECORDS)
 
 
 def replies(block: np.ndarray, answer: np.ndarray, kind: int) -> pd.DataFrame:
-    out = sent(0, block, answer)
-    return pd.DataFrame({"block": out["bucket"], "kind": kind, "data": out["data"]})
+    """A row for each block that gets any of the answers."""
+    order = np.argsort(block, kind="stable")
+    names, at = np.unique(block[order], return_index=True)
+    return pd.DataFrame([(int(b), kind, x.tobytes()) for b, x in zip(names, np.split(answer[order], at[1:]))], columns=["block", "kind", "data"])
 
 
 def judge_stretches(rows: pd.DataFrame) -> pd.DataFrame:
     """What each block is told of its minimizers: MIXED if there are several kinds, REPEAT if its only kind stands earlier elsewhere."""
-    x, block = gathered(rows, STRETCH)
-    order, new = firsts(x["digit"], x["id"], block)
+    digit, kind, ids, own, block = gathered(rows)
+    order = np.lexsort((block, ids, digit))
     lead = np.zeros(len(order), bool)
     lead[:1] = True
-    digit = x["digit"][order]
+    digit, kind, own = digit[order], kind[order], own[order]
     lead[1:] = digit[1:] != digit[:-1]
     group = np.cumsum(lead) - 1
     head = np.flatnonzero(lead)
-    other = (x["kind"][order] != x["kind"][order][head[group]]) | x["mixed"][order]
+    other = (kind != kind[head[group]]) | own
     mixed = np.bincount(group, other, len(head))[group] > 0
     alone = np.bincount(group, minlength=len(head))[group] == 1
     code = np.where(mixed, MIXED, np.where(lead, 0, REPEAT))
-    told = (code > 0) & ~(alone & x["mixed"][order])  # a block knows itself of its own kinds
+    told = (code > 0) & ~(alone & own)  # a block knows itself of its own kinds
     answer = np.zeros(int(told.sum()), ANSWER)
     answer["digit"], answer["code"] = digit[told], code[told]
     return replies(block[order][told], answer, 1)
@@ -246,12 +257,17 @@ def judge_stretches(rows: pd.DataFrame) -> pd.DataFrame:
 
 def judge_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """The windows of each block that stand earlier in another."""
-    x, block = gathered(rows, WINDOW)
-    order, _ = firsts(x["window"], x["digit"], x["id"], block)
-    w, d = x["window"][order], x["digit"][order]
+    window, digit, ids, _, block = gathered(rows)
+    order = np.lexsort((block, ids, digit, window))
+    w, d = window[order], digit[order]
     late = np.zeros(len(order), bool)
     late[1:] = (w[1:] == w[:-1]) & (d[1:] == d[:-1])
-    return replies(block[order][late], w[late] ^ d[late] * KEYS[0], 2)
+    return replies(block[order][late], name_of(w[late], d[late]), 2)
+
+
+def name_of(window: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """One number for a window among those of its block."""
+    return window ^ digit.astype(np.uint64) * KEYS[0]
 
 
 def told(notes: pd.DataFrame, kind: int, dtype) -> np.ndarray:
@@ -273,24 +289,22 @@ def settle(s: Stretches, notes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def open_windows(s: Stretches, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, hash, digit and rank of each window in the stretches that are open."""
+    """Begin, hash, half the digit and rank of each window in the stretches that are open."""
     many = s.many[open_]
     begin = np.repeat(s.begin[open_] - np.cumsum(many) + many, many) + np.arange(many.sum())
     window = np.fromiter(map(xxhash.xxh3_64_intdigest, (s.whole[i : i + WIDTH] for i in begin.tolist())), np.uint64, len(begin))
-    return begin, window, np.repeat(s.digit[open_], many), np.repeat(s.rank[open_], many)
+    return begin, window, np.repeat(s.digit[open_] & HALF, many), np.repeat(s.rank[open_], many)
 
 
 def third_pass(buckets: int):
     def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         if not len(held):
-            return pd.DataFrame(columns=["bucket", "block", "data"])
+            return pd.DataFrame(columns=["bucket", "block", "n", "digits", "rest"])
         s = Stretches.of(held["data"].iloc[0])
         begin, window, digit, rank = open_windows(s, settle(s, notes)[1])
         order, new = firsts(window, digit, begin + (rank << 40))
         pick = order[new]
-        record = np.zeros(len(pick), WINDOW)
-        record["window"], record["digit"], record["id"] = window[pick], digit[pick], s.ids[rank[pick]]
-        return sent(int(held["block"].iloc[0]), (record["window"] % np.uint64(buckets)).astype(np.int64), record)
+        return sent(int(held["block"].iloc[0]), buckets, window[pick], digit[pick], s.ids[rank[pick]], np.zeros(len(pick), bool))
 
     return run
 
@@ -306,7 +320,7 @@ def finish(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     order, new = firsts(window, digit, begin + (rank << 40))
     late = np.ones(len(begin), bool)
     late[order[new]] = False
-    late |= np.isin(window ^ digit * KEYS[0], told(notes, 2, np.uint64))
+    late |= np.isin(name_of(window, digit), told(notes, 2, np.uint64))
     cover = np.zeros(len(s.whole) + 1, np.int32)
     np.add.at(cover, s.begin[repeat], 1)
     np.add.at(cover, s.begin[repeat] + s.many[repeat] + WIDTH - 1, -1)
@@ -334,7 +348,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     first = first_pass(blocks, buckets)
     notes = staged(first.groupBy("bucket").applyInPandas(judge_stretches, "block long, kind int, data binary"), "notes")
     release(spark)
-    windows = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(third_pass(buckets), "bucket int, block long, data binary")
+    windows = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(third_pass(buckets), RECORDS)
     late = staged(windows.groupBy("bucket").applyInPandas(judge_windows, "block long, kind int, data binary"), "late")
     release(spark)
     done = blocks.groupBy("block").cogroup(notes.unionByName(late).groupBy("block")).applyInPandas(finish, RESULT.replace("doc_id long", "doc_id string"))
