@@ -18,7 +18,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,26 +33,48 @@ from cardwright.llm.common import prepare, staged, table, texts
 CAPACITY = 2048
 END = 0
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class Words:
-    """Ids by the tokenizer, with a cache by word: this tokenizer's rules never look across a space."""
+    """Ids by the tokenizer, with a cache by word: this tokenizer's rules never look across a space.
+
+    New words go to the tokenizer as one text with MARK between them; no other text has the ids of MARK, so these tell
+    where a word ends.
+    """
+
+    MARK = "\u2603"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
-        new = list(set(words).difference(self.known))
+        self.known: dict[str, bytes] = {}
+        self.mark = self.plain(self.MARK)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, new: list[str]) -> None:
+        odd = [w for w in new if self.MARK in w]
+        new = [w for w in new if self.MARK not in w]
+        self.known.update((w, self.plain(w).tobytes()) for w in odd)
+        ids, k = self.plain(f" {self.MARK} ".join(new)), len(self.mark)
+        at = np.flatnonzero(np.all([ids[i : len(ids) - k + 1 + i] == x for i, x in enumerate(self.mark)], axis=0)) if len(ids) >= k else np.zeros(0, int)
+        if len(at) != len(new) - 1:
+            raise ValueError("the tokenizer has joined words")
+        raw, begin, end = ids.tobytes(), [0, *(at + k).tolist()], [*at.tolist(), len(ids)]
+        self.known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(new, begin, end))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        new = set().union(*words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {}
+            new = set().union(*words)
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = list(set(words))
-            self.known.update(zip(new, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-        return np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, words)), (END,)), "<u4")
+            self.learn(list(new))
+        end = END.to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)) + end, "<u4") for w in words]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -143,8 +164,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
         words, ranks, part = Words(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                ids = words.ids(t or "")
+            for d, ids in zip(b["doc_id"], words.ids([t or "" for t in b["text"]])):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
                     n = len(piece)

@@ -14,7 +14,7 @@ Documents are kept in blocks of some MB, a row each. Every pass first looks insi
 stretches or windows is left, and then sends one record for each to the digit's bucket. So a passage that a third of all
 documents hold meets at most once per block. Buckets answer each block; the blocks then put the answers together.
 
-Digits are hashes; two windows count as equal if they agree in one of 64 bits and 32 bits of another, so in 96 bits.
+Digits are hashes; two windows count as equal if they agree in one of 64 bits and 24 bits of another, so in 88 bits.
 
 Defined results: a null text is an empty one. The earlier of two windows is that of the smaller doc_id (null first), then,
 for rows that repeat a doc_id, that of the earlier block and row. Texts are read whole; texts under WIDTH bytes lose nothing.
@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import parts, prepare, staged, table, texts
+from cardwright.llm.common import parts, prepare, staged, table, texts, trim
 from cardwright.session import release
 
 WIDTH = 100
 GRAM = 32
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 NULL_ID = -(1 << 63)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEYS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -49,7 +49,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, data: some MB of documents in each row."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, part, k, ids, data, size = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0, [], [], 0
+        packer, part, k, ids, data, size = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pd.DataFrame:
             nonlocal k, ids, data, size
@@ -170,14 +170,14 @@ def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sent(block: int, buckets: int, key: np.ndarray, more: np.ndarray, ids: np.ndarray, mixed: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket that gets any of the records: 96 bits of digits, and packed ids and marks."""
+    """A row for each bucket that gets any of the records: 88 bits of digits, and packed ids and marks."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((ids, bucket))
     names, at = np.unique(bucket[order], return_index=True)
-    packer, rows = zstandard.ZstdCompressor(level=1), []
+    packer, rows = zstandard.ZstdCompressor(level=3), []
     for name, pick in zip(names.tolist(), np.split(order, at[1:])):
         rest = packer.compress(np.diff(ids[pick], prepend=np.int64(0)).tobytes() + np.packbits(mixed[pick]).tobytes())
-        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u4").tobytes(), rest))
+        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), rest))
     return pd.DataFrame(rows, columns=["bucket", "block", "n", "digits", "rest"])
 
 
@@ -188,14 +188,15 @@ def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         raw = zstandard.decompress(rest)
         ids = np.cumsum(np.frombuffer(raw, np.int64, n))
         mixed = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool)
-        out.append((np.frombuffer(digits, "<u8", n), np.frombuffer(digits, "<u4", n, 8 * n), ids, mixed, np.full(n, block, np.int64)))
+        out.append((np.frombuffer(digits, "<u8", n), np.pad(np.frombuffer(digits, np.uint8, 3 * n, 8 * n).reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel(), ids, mixed, np.full(n, block, np.int64)))
     return tuple(map(np.concatenate, zip(*out)))
 
 
 RECORDS = "bucket int, block long, n int, digits binary, rest binary"
 ANSWER = np.dtype([("digit", "<u8"), ("code", "u1")])
 REPEAT, MIXED = 1, 2
-HALF = np.uint64(0xFFFFFFFF)
+#: The bits that are sent of the second digit.
+HALF = np.uint64(0xFFFFFF)
 
 
 def local(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +219,7 @@ def first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, data in zip(b["block"], b["data"]):
+                trim()
                 s = Stretches.of(data)
                 first, mixed = local(s)
                 pick = np.flatnonzero(first)
@@ -237,6 +239,7 @@ def replies(block: np.ndarray, answer: np.ndarray, kind: int) -> pd.DataFrame:
 
 def judge_stretches(rows: pd.DataFrame) -> pd.DataFrame:
     """What each block is told of its minimizers: MIXED if there are several kinds, REPEAT if its only kind stands earlier elsewhere."""
+    trim()
     digit, kind, ids, own, block = gathered(rows)
     order = np.lexsort((block, ids, digit))
     lead = np.zeros(len(order), bool)
@@ -257,6 +260,7 @@ def judge_stretches(rows: pd.DataFrame) -> pd.DataFrame:
 
 def judge_windows(rows: pd.DataFrame) -> pd.DataFrame:
     """The windows of each block that stand earlier in another."""
+    trim()
     window, digit, ids, _, block = gathered(rows)
     order = np.lexsort((block, ids, digit, window))
     w, d = window[order], digit[order]
@@ -300,6 +304,7 @@ def third_pass(buckets: int):
     def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         if not len(held):
             return pd.DataFrame(columns=["bucket", "block", "n", "digits", "rest"])
+        trim()
         s = Stretches.of(held["data"].iloc[0])
         begin, window, digit, rank = open_windows(s, settle(s, notes)[1])
         order, new = firsts(window, digit, begin + (rank << 40))
@@ -314,6 +319,7 @@ def finish(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not len(held):
         return pd.DataFrame(columns=columns)
+    trim()
     s = Stretches.of(held["data"].iloc[0])
     repeat, open_ = settle(s, notes)
     begin, window, digit, rank = open_windows(s, open_)
@@ -344,7 +350,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     blocks = staged(blocks_of(docs), "blocks")
-    buckets = max(parts(spark), blocks.count() // 4)
+    buckets = max(parts(spark), blocks.count() // 16)
     first = first_pass(blocks, buckets)
     notes = staged(first.groupBy("bucket").applyInPandas(judge_stretches, "block long, kind int, data binary"), "notes")
     release(spark)
