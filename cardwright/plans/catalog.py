@@ -2,5 +2,440 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cardwright.functions import text as T
+from cardwright.operators import duplicates as D
+from cardwright.operators import ranking as R
+from cardwright.operators.cards import cards, scored, unit
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+CARDS = """cards AS (SELECT d.doc_id AS id, substr(split_part(coalesce(d.text, ''), chr(10), 1), 1, 70) AS name, coalesce(d.text, '') AS description,
+  coalesce(d.lang, '') AS category, l.quality AS label, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+UNIT = "(CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || '{1}'), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE)"
+SCORED = f"""scored AS (SELECT d.doc_id AS id, coalesce(d.lang, '') AS category, l.quality AS label, l.toxic,
+  round({UNIT.format('d.doc_id', 'text')} * 0.75::DOUBLE + coalesce(l.quality, 0) * 0.25::DOUBLE, 4) AS a,
+  round({UNIT.format('d.doc_id', 'image')} * 0.75::DOUBLE + coalesce(l.quality, 0) * 0.25::DOUBLE, 4) AS b
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+NORM = "trim(regexp_replace(replace(lower({0}), 'ё', 'е'), '[^0-9a-zа-яё]+', ' ', 'g'))"
+COLL = "trim(regexp_replace({0}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# sources, projections, predicates
+
+
+@query("src01_cards", f"WITH {CARDS} SELECT id, name, length(description) AS n_description, category, label FROM cards")
+def src01_cards(spark, sf):
+    return cards(spark, sf).select("id", "name", F.length("description").cast("long").alias("n_description"), "category", "label")
+
+
+@query("p01_normalize", f"WITH {CARDS}, t AS (SELECT id, {NORM.format('description')} AS t FROM cards) SELECT id, length(t) AS n, substr(md5(t), 1, 16) AS digest FROM t")
+def p01_normalize(spark, sf):
+    t = cards(spark, sf).select("id", T.normalized(F.col("description")).alias("t"))
+    return t.select("id", F.length("t").cast("long").alias("n"), T.digest(F.col("t")).alias("digest"))
+
+
+_MODEL_TEXT = COLL.format("replace(lower(name || ' ' || chr(10) || ' ' || substr(description, 1, 2500)), 'ё', 'е')")
+
+
+@query("p02_model_text", f"WITH {CARDS} SELECT id, {_MODEL_TEXT} AS model_text FROM cards")
+def p02_model_text(spark, sf):
+    return cards(spark, sf).select("id", T.model_text(F.col("name"), F.col("description")).alias("model_text"))
+
+
+#: flag, column, pattern; patterns use explicit classes, so that both engines read them alike
+RULES = [
+    ("has_link", "description", "https?://"),
+    ("has_license", "description", "(?i)(license|copyright|all rights reserved)"),
+    ("has_digit_name", "name", "[0-9]"),
+    ("has_secret", "description", "(?i)(password|token|secret|api_?key)"),
+    ("has_mail", "description", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]"),
+    ("has_question", "description", "[?]"),
+]
+GUESS = "CASE WHEN has_secret OR has_mail THEN 0 WHEN has_license THEN 0 WHEN has_link AND NOT has_question THEN 0 WHEN category = 'en' THEN 1 WHEN has_digit_name THEN 0 ELSE 1 END"
+_FLAGS = ", ".join(f"regexp_matches({c}, '{p}') AS {k}" for k, c, p in RULES)
+
+
+def _flagged(spark, sf):
+    return cards(spark, sf).select("id", "category", *[F.col(c).rlike(p).alias(k) for k, c, p in RULES])
+
+
+@query("p03_evidence", f"WITH {CARDS} SELECT id, {_FLAGS} FROM cards")
+def p03_evidence(spark, sf):
+    return _flagged(spark, sf).drop("category")
+
+
+@query("p05_rule_guess", f"WITH {CARDS}, e AS (SELECT id, category, {_FLAGS} FROM cards) SELECT id, CAST({GUESS} AS INTEGER) AS guess FROM e")
+def p05_rule_guess(spark, sf):
+    return _flagged(spark, sf).select("id", F.expr(GUESS).cast("int").alias("guess"))
+
+
+_FACTS = ", ".join(f"CASE WHEN {k} THEN '- {k[4:]}' END" for k, _, _ in RULES)
+
+
+@query("p08_facts_block", f"WITH {CARDS}, e AS (SELECT id, {_FLAGS} FROM cards), f AS (SELECT id, concat_ws(chr(10), {_FACTS}) AS t FROM e) SELECT id, CASE WHEN t = '' THEN '' ELSE 'Facts:' || chr(10) || t END AS facts FROM f")
+def p08_facts_block(spark, sf):
+    facts = F.filter(F.array(*[F.when(F.col(k), F.lit(f"- {k[4:]}")) for k, _, _ in RULES]), lambda x: x.isNotNull())
+    e = _flagged(spark, sf).select("id", facts.alias("f"))
+    return e.select("id", F.when(F.size("f") > 0, F.concat(F.lit("Facts:\n"), F.array_join("f", "\n"))).otherwise("").alias("facts"))
+
+
+TYPES = [("list", "^[-*0-9]"), ("question", "[?]"), ("heading", "^[A-Z][A-Z ]+$"), ("number", "[0-9]"), ("sentence", "[.]$")]
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{k}'" for k, p in TYPES) + " ELSE 'other' END"
+
+
+@query("p10_product_type", f"WITH {CARDS}, t AS (SELECT id, {_TYPE} AS type FROM cards) SELECT id, type, " + ", ".join(f"CAST(type = '{k}' AS DOUBLE) AS is_{k}" for k, _ in [*TYPES, ("other", "")]) + " FROM t")
+def p10_product_type(spark, sf):
+    t = cards(spark, sf).select("id", T.first_match(F.col("name"), TYPES, "other").alias("type"))
+    return t.select("id", "type", *[(F.col("type") == k).cast("double").alias(f"is_{k}") for k, _ in [*TYPES, ("other", "")]])
+
+
+@query(
+    "p12_numeric_features",
+    f"""WITH {CARDS} SELECT id, round(ln(1 + length(name)), 6) AS l_name, round(ln(1 + length(description)), 6) AS l_desc,
+  round(ln(2 + length(description) - length(replace(description, ' ', ''))), 6) AS l_words, length(description) < 5 AS desc_empty,
+  length(description) - length(regexp_replace(description, '[0-9]', '', 'g')) AS n_digits,
+  round((length(description) - length(regexp_replace(description, '[A-Z]', '', 'g'))) / greatest(length(description), 1)::DOUBLE, 6) AS upper_share FROM cards""",
+)
+def p12_numeric_features(spark, sf):
+    d, n = F.col("description"), F.length("description")
+    lost = lambda p: n - F.length(F.regexp_replace(d, p, ""))
+    return cards(spark, sf).select("id", F.round(F.log1p(F.length("name")), 6).alias("l_name"), F.round(F.log1p(n), 6).alias("l_desc"), F.round(F.log1p(lost(" ") + 1), 6).alias("l_words"), (n < 5).alias("desc_empty"), lost("[0-9]").cast("long").alias("n_digits"), F.round(lost("[A-Z]") / F.greatest(n, F.lit(1)), 6).alias("upper_share"))
+
+
+@query("p14_prompt", f"WITH {CARDS} SELECT id, 'Category: ' || category || chr(10) || 'Name: ' || substr(name, 1, 40) || chr(10) || substr(description, 1, 200) AS prompt FROM cards")
+def p14_prompt(spark, sf):
+    return cards(spark, sf).select("id", F.concat(F.lit("Category: "), "category", F.lit("\nName: "), F.substring("name", 1, 40), F.lit("\n"), F.substring("description", 1, 200)).alias("prompt"))
+
+
+_FALL = "The card was checked against the rules of its category and its text."
+_PLAIN = "CASE WHEN {0} = '' THEN '" + _FALL + "' ELSE {0} END"
+
+
+@query(
+    "p16_answer",
+    f"""WITH {CARDS}, c AS (SELECT id, coalesce(label, 0) AS v, {COLL.format("regexp_replace(description, '<[^>]*>', ' ', 'g')")} AS t FROM cards),
+  p AS (SELECT id, v, {_PLAIN.format('t')} AS t FROM c), f AS (SELECT id, v, CASE WHEN length(t) < 50 THEN t || ' {_FALL}' ELSE t END AS t FROM p),
+  h AS (SELECT id, v, t, substr(t, 1, 300) AS h FROM f),
+  k AS (SELECT id, v, CASE WHEN length(t) <= 300 THEN t WHEN contains(h, ' ') AND length(h) - position(' ' IN reverse(h)) > 50 THEN rtrim(substr(h, 1, length(h) - position(' ' IN reverse(h)))) ELSE h END AS c FROM h)
+  SELECT id, c AS comment, '<комментарий>' || c || '<вердикт>' || CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS result, CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS verdict FROM k""",
+)
+def p16_answer(spark, sf):
+    made = cards(spark, sf).select("id", T.answer(T.clipped(F.col("description"), _FALL), F.coalesce("label", F.lit(0))).alias("result"))
+    form = "(?s)^<комментарий>(.*)<вердикт>(.*)$"
+    return made.select("id", F.regexp_extract("result", form, 1).alias("comment"), "result", F.regexp_extract("result", form, 2).alias("verdict"))
+
+
+@query("p21_sigmoid", f"WITH {SCORED} SELECT id, round(1 / (1 + exp(-(ln(exp(a) + exp(b)) - ln(exp(1 - a) + exp(1 - b))))), 6) AS p FROM scored")
+def p21_sigmoid(spark, sf):
+    lse = lambda *c: F.log(sum((F.exp(x) for x in c[1:]), F.exp(c[0])))
+    return scored(spark, sf).select("id", F.round(1 / (1 + F.exp(-(lse(F.col("a"), F.col("b")) - lse(1 - F.col("a"), 1 - F.col("b"))))), 6).alias("p"))
+
+
+@query("p25_probe", f"WITH {SCORED}, u AS (SELECT id, category, {UNIT.format('id', '')} AS u, a FROM scored) SELECT id, round(u, 6) AS unit, CAST((a >= 0.25) AS INTEGER) + CAST((a >= 0.5) AS INTEGER) + CAST((a >= 0.75) AS INTEGER) AS bucket, CASE WHEN category = 'en' AND u < 0.4 THEN 1 ELSE 0 END AS probe FROM u")
+def p25_probe(spark, sf):
+    u = unit(F.col("id"))
+    bucket = sum(((F.col("a") >= e).cast("int") for e in (0.5, 0.75)), (F.col("a") >= 0.25).cast("int"))
+    return scored(spark, sf).select("id", F.round(u, 6).alias("unit"), bucket.alias("bucket"), F.when((F.col("category") == "en") & (u < 0.4), 1).otherwise(0).alias("probe"))
+
+
+@query("p22_forced_verdict", f"WITH {SCORED} SELECT id, CASE WHEN category IN ('fr', 'es') THEN 0 WHEN category = 'de' THEN 1 ELSE CAST(a >= 0.5 AS INTEGER) END AS verdict FROM scored")
+def p22_forced_verdict(spark, sf):
+    return scored(spark, sf).select("id", F.when(F.col("category").isin("fr", "es"), 0).when(F.col("category") == "de", 1).otherwise((F.col("a") >= 0.5).cast("int")).alias("verdict"))
+
+
+@query("p29_short_text", f"WITH {CARDS} SELECT id, nullif(trim(substr({COLL.format('description')}, 1, 80), ' .,;:'), '') AS short FROM cards")
+def p29_short_text(spark, sf):
+    head = F.substring(T.collapsed(F.col("description")), 1, 80)
+    return cards(spark, sf).select("id", F.nullif(F.trim(head, F.lit(" .,;:")), F.lit("")).alias("short"))
+
+
+# duplicates
+
+
+_KEYS = f"""n AS (SELECT id, category, label, {NORM.format('name')} AS n, {NORM.format('description')} AS d FROM cards),
+ keys AS (SELECT id, category, label, 'name_desc' AS kind, substr(md5(n || '|' || d), 1, 16) AS key FROM n WHERE length(n || d) > 0
+  UNION ALL SELECT id, category, label, 'desc', substr(md5(d), 1, 16) FROM n WHERE length(d) >= 40
+  UNION ALL SELECT id, category, label, 'name', substr(md5(n), 1, 16) FROM n WHERE length(n) >= 10)"""
+_BANDS = f"""w AS (SELECT id, category, label, string_split({NORM.format('description')}, ' ') AS w FROM cards),
+ x AS (SELECT DISTINCT id, substr(md5(array_to_string(w[i : i + 7], ' ')), 1, 12) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 12)),
+ y AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) - 1 AS r FROM x), z AS (SELECT id, r // 4 AS b, string_agg(h, '-' ORDER BY h) AS hs, count(*) AS c FROM y WHERE r < 16 GROUP BY id, r // 4),
+ bands AS (SELECT id, CAST(b AS INTEGER) AS ord, substr(md5(CAST(b AS VARCHAR) || '-' || hs), 1, 16) AS key FROM z WHERE c = 4)"""
+
+
+@query("g03_bands", f"WITH {CARDS}, {_BANDS} SELECT id, ord, key FROM bands")
+def g03_bands(spark, sf):
+    return D.bands(cards(spark, sf)).select("id", "ord", "key")
+
+
+@query("g04_exact_keys", f"WITH {CARDS}, {_KEYS} SELECT id, kind, key FROM keys")
+def g04_exact_keys(spark, sf):
+    return D.exact_keys(cards(spark, sf)).select("id", "kind", "key")
+
+
+_ALL = f"{CARDS}, {_KEYS}, {_BANDS}, allkeys AS (SELECT id, kind, key FROM keys UNION ALL SELECT id, 'band', key FROM bands)"
+_EDGES = """heads AS (SELECT kind, key, min(id) AS a FROM allkeys GROUP BY kind, key HAVING count(DISTINCT id) > 1 AND (kind <> 'band' OR count(DISTINCT id) <= 60)),
+ edges AS (SELECT DISTINCT a, k.id AS b FROM allkeys k JOIN heads USING (kind, key) WHERE a <> k.id)"""
+_GROUPS = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT id AS s, id AS t FROM cards UNION SELECT s, b FROM reach JOIN both_ways ON t = a),
+ grouped AS (SELECT c.id, c.category, c.label, g.grp FROM cards c JOIN (SELECT s, min(t) AS grp FROM reach GROUP BY s) g ON c.id = g.s)"""
+_PURITY = """g AS (SELECT category, grp, count(*) AS n, avg(label) AS m FROM grouped WHERE label IS NOT NULL GROUP BY category, grp)
+ SELECT category, count(*) AS n_groups, count(*) FILTER (n > 1) AS n_multi, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_items_multi,
+ count(*) FILTER (n > 1 AND m > 0 AND m < 1) AS n_mixed, round(CASE WHEN count(*) FILTER (n > 1) > 0 THEN 1 - count(*) FILTER (n > 1 AND m > 0 AND m < 1) / (count(*) FILTER (n > 1))::DOUBLE ELSE 1 END, 6) AS purity FROM g GROUP BY category"""
+
+
+def _keys(spark, sf):
+    c = cards(spark, sf)
+    return c, D.exact_keys(c).unionByName(D.bands(c))
+
+
+@query("g05_links", f"WITH {_ALL}, {_EDGES} SELECT a, b FROM edges")
+def g05_links(spark, sf):
+    return D.star_edges(_keys(spark, sf)[1])
+
+
+@query("g08_components", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS} SELECT id, grp FROM grouped")
+def g08_components(spark, sf):
+    return D.groups(*_keys(spark, sf)).select("id", "grp")
+
+
+@query("g08_duplicate_groups", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, {_PURITY}")
+def g08_duplicate_groups(spark, sf):
+    return D.purity(D.groups(*_keys(spark, sf)), "category")
+
+
+@query("g09_ablation", f"WITH RECURSIVE {CARDS}, {_KEYS}, allkeys AS (SELECT id, kind, key FROM keys), {_EDGES}, {_GROUPS}, {_PURITY}")
+def g09_ablation(spark, sf):
+    c = cards(spark, sf)
+    return D.purity(D.groups(c, D.exact_keys(c)), "category")
+
+
+@query("a03_rare_stats", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, s AS (SELECT grp, count(*) AS n FROM grouped GROUP BY grp) SELECT category, count(*) AS positives, count(DISTINCT g.grp) AS n_groups, count(*) FILTER (n > 1) AS with_sibling FROM grouped g JOIN s ON g.grp = s.grp WHERE label = 1 GROUP BY category")
+def a03_rare_stats(spark, sf):
+    g = D.groups(*_keys(spark, sf))
+    size = g.groupBy("grp").agg(F.count("*").alias("n"))
+    return g.where("label = 1").join(size, "grp").groupBy("category").agg(F.count("*").alias("positives"), F.count_distinct("grp").alias("n_groups"), F.count_if(F.col("n") > 1).alias("with_sibling"))
+
+
+_KNOWN = f"""{CARDS}, {_KEYS}, {_BANDS}, lk AS (SELECT id, category, label, kind, 0 AS ord, key FROM keys UNION ALL SELECT b.id, c.category, c.label, 'band', ord, key FROM bands b JOIN cards c ON b.id = c.id),
+ m AS (SELECT kind, key, category, sum(label) AS s, count(*) AS c FROM lk WHERE label IS NOT NULL GROUP BY kind, key, category),
+ known AS (SELECT kind, key, round(sum(s) / sum(c)::DOUBLE, 4) AS label, CAST(sum(c) AS BIGINT) AS n, arg_min(category, (-c, category)) AS category FROM m GROUP BY kind, key HAVING kind <> 'band' OR sum(c) <= 60)"""
+
+
+@query("g10_duplicate_table", f"WITH {_KNOWN} SELECT * FROM known")
+def g10_duplicate_table(spark, sf):
+    return D.known(_keys(spark, sf)[1])
+
+
+@query(
+    "g11_lookup",
+    f"""WITH {_KNOWN}, t AS (SELECT lk.id, CASE lk.kind WHEN 'name_desc' THEN 1 WHEN 'desc' THEN 2 WHEN 'name' THEN 3 ELSE 4 END AS tier, ord, known.label AS hit FROM lk JOIN known USING (kind, key) WHERE lk.label IS NULL)
+ SELECT id, hit, tier, CASE WHEN abs(hit - 0.5) > 1e-9 THEN CAST(hit > 0.5 AS INTEGER) END AS verdict FROM (SELECT id, arg_min(hit, (tier, ord)) AS hit, CAST(min(tier) AS INTEGER) AS tier FROM t GROUP BY id)""",
+)
+def g11_lookup(spark, sf):
+    keys = _keys(spark, sf)[1]
+    found = D.looked_up(keys.where("label IS NULL"), D.known(keys))
+    return found.withColumn("verdict", F.when(F.abs(F.col("hit") - 0.5) > 1e-9, (F.col("hit") > 0.5).cast("int")))
+
+
+# joins, reports, set operations
+
+
+@query("j06_anti_semi", f"WITH {CARDS} SELECT id, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = id) AS has_vector FROM cards WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = id)")
+def j06_anti_semi(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id")).distinct().withColumn("has_vector", F.lit(True))
+    return cards(spark, sf).select("id", "label").where("label IS NULL").select("id").join(vectors, "id", "left").select("id", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+
+
+_THRESHOLDS = {"en": 0.6, "de": 0.55}
+
+
+@query("j03_threshold_lookup", f"WITH {SCORED} SELECT id, CAST(a >= CASE category WHEN 'en' THEN 0.6 WHEN 'de' THEN 0.55 ELSE 0.5 END AS INTEGER) AS verdict FROM scored")
+def j03_threshold_lookup(spark, sf):
+    at = F.create_map(*[F.lit(x) for kv in _THRESHOLDS.items() for x in kv])
+    return scored(spark, sf).select("id", (F.col("a") >= F.coalesce(at[F.col("category")], F.lit(0.5))).cast("int").alias("verdict"))
+
+
+@query("a06_shared_texts", "WITH g AS (SELECT md5(text) AS h, count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (n > 1) AS n_shared, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_items, round(100.0 * coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 2)::DOUBLE AS share FROM g")
+def a06_shared_texts(spark, sf):
+    g = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").groupBy(F.md5("text").alias("h")).agg(F.count_distinct("doc_id").alias("n"))
+    many = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    return g.agg(F.count_if(F.col("n") > 1).alias("n_shared"), many.alias("n_items"), F.round(100.0 * many / F.sum("n"), 2).alias("share"))
+
+
+@query("a07_turn_histogram", "WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id), h AS (SELECT turns, count(*) AS n FROM c GROUP BY turns) SELECT turns, n, round(100.0::DOUBLE * n / sum(n) OVER (), 1) AS share FROM h")
+def a07_turn_histogram(spark, sf):
+    h = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns")).groupBy("turns").agg(F.count("*").alias("n"))
+    return h.select("turns", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 1).alias("share"))
+
+
+@query("a08_describe", "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 4) AS std, min(n_chars) AS least, max(n_chars) AS most, round(quantile_cont(n_chars, 0.05), 6) AS q05, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.95), 6) AS q95 FROM documents")
+def a08_describe(spark, sf):
+    c = "n_chars"
+    return spark.read.parquet(f"{sf}/documents.parquet").agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), *[F.round(F.percentile(c, p), 6).alias(k) for k, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])
+
+
+@query("a09_top_sources", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def a09_top_sources(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(5)
+
+
+_FOLD = "CAST('0x' || substr(md5(CAST(id AS VARCHAR) || 'fold'), 1, 8) AS BIGINT) % 5"
+
+
+def _fold():
+    return (F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("fold"))), 1, 8), 16, 10).cast("long") % 5).alias("fold")
+
+
+@query("a10_fold_pivot", f"WITH {SCORED}, f AS (SELECT {_FOLD} AS fold, category, label FROM scored) SELECT fold, " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}_n, CAST(coalesce(sum(label) FILTER (category = '{c}'), 0) AS BIGINT) AS {c}_pos" for c in ("de", "en", "es", "fr")) + " FROM f GROUP BY fold")
+def a10_fold_pivot(spark, sf):
+    p = scored(spark, sf).select(_fold(), "category", "label").groupBy("fold").pivot("category", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    return p.na.fill(0)
+
+
+@query("a11_smoothed_scores", f"WITH {SCORED}, d AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN md5(coalesce(text, '')) ELSE CAST(doc_id AS VARCHAR) END AS g FROM documents) SELECT s.id, round(m.x, 6) AS smooth FROM scored s JOIN d ON s.id = d.id JOIN (SELECT g, avg(a) AS x FROM scored JOIN d USING (id) GROUP BY g) m ON m.g = d.g")
+def a11_smoothed_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", F.md5(F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id").cast("string")).alias("g"))
+    rows = scored(spark, sf).select("id", "a").join(docs, "id")
+    return rows.join(rows.groupBy("g").agg(F.avg("a").alias("x")), "g").select("id", F.round("x", 6).alias("smooth"))
+
+
+_TRUTH = f"{SCORED}, t AS (SELECT category, label AS y, CAST(a >= 0.5 AS INTEGER) AS v FROM scored WHERE label IS NOT NULL), c AS (SELECT category, CAST(sum(y * v) AS BIGINT) AS tp, CAST(sum((1 - y) * v) AS BIGINT) AS fp, CAST(sum(y * (1 - v)) AS BIGINT) AS fn FROM t GROUP BY category)"
+
+
+@query("a12_f1", f"WITH {_TRUTH} SELECT category, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1 FROM c")
+def a12_f1(spark, sf):
+    y, v = F.col("label"), (F.col("a") >= 0.5).cast("int")
+    c = scored(spark, sf).where("label IS NOT NULL").groupBy("category").agg(F.sum(y * v).alias("tp"), F.sum((1 - y) * v).alias("fp"), F.sum(y * (1 - v)).alias("fn"))
+    return c.withColumn("f1", F.round(R.f1(F.col("tp"), F.col("fp"), F.col("fn")), 6))
+
+
+@query("a14_prior_weights", f"WITH {SCORED}, c AS (SELECT category, sum(label) AS p, count(label) - sum(label) AS q FROM scored GROUP BY category) SELECT s.id, round(CASE WHEN s.label = 1 THEN 1 ELSE p * 0.9 / (0.1 * q) END, 6)::DOUBLE AS weight FROM scored s JOIN c USING (category) WHERE s.label IS NOT NULL AND q > 0")
+def a14_prior_weights(spark, sf):
+    s = scored(spark, sf).where("label IS NOT NULL").select("id", "category", "label")
+    c = s.groupBy("category").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).where("q > 0")
+    return s.join(c, "category").select("id", F.round(F.when(F.col("label") == 1, 1.0).otherwise(F.col("p") * 0.9 / (0.1 * F.col("q"))), 6).alias("weight"))
+
+
+@query("a16_validation", f"WITH {CARDS}, r AS (SELECT id, label FROM cards), g AS (SELECT id, count(*) AS n FROM r GROUP BY id) SELECT (SELECT count(*) FROM g WHERE n > 1) AS n_duplicate, (SELECT count(*) FROM r WHERE label IS NULL) AS n_null, (SELECT count(*) FROM (SELECT DISTINCT vec_id FROM embeddings) WHERE vec_id NOT IN (SELECT id FROM r)) AS n_missing, (SELECT count(*) FROM g WHERE id NOT IN (SELECT vec_id FROM embeddings)) AS n_extra")
+def a16_validation(spark, sf):
+    g = cards(spark, sf).select("id", "label").groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("z"))
+    wanted = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit(1).alias("want")).distinct()
+    both = g.join(wanted, "id", "full")
+    return both.agg(F.count_if(F.col("n") > 1).alias("n_duplicate"), F.sum(F.coalesce("z", F.lit(0))).alias("n_null"), F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("want").isNull()).alias("n_extra"))
+
+
+@query("a22_cell_mean", f"WITH {SCORED} SELECT round(avg(m), 6) AS balanced FROM (SELECT category, label, avg(a) AS m FROM scored WHERE label IS NOT NULL GROUP BY category, label)")
+def a22_cell_mean(spark, sf):
+    return scored(spark, sf).where("label IS NOT NULL").groupBy("category", "label").agg(F.avg("a").alias("m")).agg(F.round(F.avg("m"), 6).alias("balanced"))
+
+
+# ranks, selection, curves
+
+_RANK = "(rank() OVER (PARTITION BY category ORDER BY {0}) + (count(*) OVER (PARTITION BY category, {0}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY category)"
+
+
+@query("w01_percentile_rank", f"WITH {SCORED} SELECT id, round({_RANK.format('a')}, 6) AS r FROM scored")
+def w01_percentile_rank(spark, sf):
+    return R.percentile_rank(scored(spark, sf), ["category"], "a", "r").select("id", F.round("r", 6).alias("r"))
+
+
+@query("w03_rank_blend", f"WITH {SCORED}, r AS (SELECT id, {_RANK.format('a')} AS ra, {_RANK.format('b')} AS rb FROM scored) SELECT id, round(greatest(ra, rb), 6) AS r_max, round(0.7::DOUBLE * ra + 0.3::DOUBLE * rb, 6) AS r_mix FROM r")
+def w03_rank_blend(spark, sf):
+    r = R.percentile_rank(R.percentile_rank(scored(spark, sf), ["category"], "a", "ra"), ["category"], "b", "rb")
+    return r.select("id", F.round(F.greatest("ra", "rb"), 6).alias("r_max"), F.round(0.7 * F.col("ra") + 0.3 * F.col("rb"), 6).alias("r_mix"))
+
+
+@query("w04_rate_selection", f"WITH {SCORED}, r AS (SELECT id, category, a, row_number() OVER (PARTITION BY category ORDER BY a DESC) AS k, count(*) OVER (PARTITION BY category) AS n FROM scored), t AS (SELECT category, min(a) AS bar FROM r WHERE k <= greatest(1, round_even(0.15::DOUBLE * n, 0)) GROUP BY category) SELECT id, a >= bar AS picked FROM r JOIN t USING (category)")
+def w04_rate_selection(spark, sf):
+    return R.rate_selected(scored(spark, sf), ["category"], "a", 0.15, "picked").select("id", "picked")
+
+
+@query("w05_top_fraction", f"WITH {SCORED} SELECT id, row_number() OVER (PARTITION BY category ORDER BY a DESC, id) <= ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY category)) AS picked FROM scored")
+def w05_top_fraction(spark, sf):
+    return R.top_fraction(scored(spark, sf), ["category"], "a", "id", 0.1, "picked").select("id", "picked")
+
+
+@query("w08_quantile_blend", f"WITH {SCORED}, q AS (SELECT s.id, (SELECT (count(*) FILTER (r.a < s.a) + count(*) FILTER (r.a <= s.a)) / (2.0::DOUBLE * count(*)) FROM scored r WHERE r.category = s.category AND r.label IS NOT NULL) AS qa, (SELECT (count(*) FILTER (r.b < s.b) + count(*) FILTER (r.b <= s.b)) / (2.0::DOUBLE * count(*)) FROM scored r WHERE r.category = s.category AND r.label IS NOT NULL) AS qb FROM scored s) SELECT id, round(qa, 6) AS q_text, round(0.6::DOUBLE * coalesce(qa, 0.5) + 0.4::DOUBLE * coalesce(qb, 0.5), 6) AS blend FROM q")
+def w08_quantile_blend(spark, sf):
+    s = scored(spark, sf)
+    ref = s.where("label IS NOT NULL")
+    q = R.quantile_map(R.quantile_map(s, ref, ["category"], "a", "qa"), ref, ["category"], "b", "qb")
+    return q.select("id", F.round("qa", 6).alias("q_text"), F.round(0.6 * F.col("qa") + 0.4 * F.col("qb"), 6).alias("blend"))
+
+
+GRID = [round(0.01 + 0.005 * k, 3) for k in range(197)]
+_SWEEP = "grid AS (SELECT CAST(round(0.01 + 0.005 * k, 3) AS DOUBLE) AS threshold FROM range(197) t(k)), w AS (SELECT category, threshold, sum(CASE WHEN a >= threshold THEN label ELSE 0 END) AS tp, sum(CASE WHEN a >= threshold THEN 1 - label ELSE 0 END) AS fp, sum(CASE WHEN a >= threshold THEN 0 ELSE label END) AS fn FROM scored, grid WHERE label IS NOT NULL GROUP BY category, threshold), f AS (SELECT category, threshold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END AS f1 FROM w)"
+
+
+@query("w14_threshold_sweep", f"WITH {SCORED}, {_SWEEP} SELECT category, arg_min(threshold, (-f1, threshold)) AS threshold, round(max(f1), 6) AS f1 FROM f GROUP BY category")
+def w14_threshold_sweep(spark, sf):
+    return R.best_threshold(R.sweep(scored(spark, sf), ["category"], "a", "label", GRID), ["category"])
+
+
+@query(
+    "w16_curves",
+    f"""WITH {SCORED}, s AS (SELECT category, a, label AS y FROM scored WHERE label IS NOT NULL), d AS (SELECT category, a, count(*) AS n, sum(y) AS p FROM s GROUP BY category, a),
+ r AS (SELECT *, coalesce(sum(n - p) OVER u, 0) AS nb, sum(p) OVER v AS pc, sum(n) OVER v AS nc FROM d WINDOW u AS (PARTITION BY category ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY category ORDER BY a DESC))
+ SELECT category, CAST(sum(n) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS positives, CASE WHEN sum(p) > 0 AND sum(p) < sum(n) THEN round(sum(p * (nb + (n - p) / 2.0::DOUBLE)) / (sum(p) * (sum(n) - sum(p))), 6) END AS auc,
+ CASE WHEN sum(p) > 0 AND sum(p) < sum(n) THEN round(sum(p * pc / nc::DOUBLE) / sum(p), 6) END AS ap FROM r GROUP BY category""",
+)
+def w16_curves(spark, sf):
+    return R.curves(scored(spark, sf), ["category"], "a", "label")
+
+
+@query("u03_first_per_key", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+def u03_first_per_key(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("m01_downsampled", f"WITH {SCORED}, c AS (SELECT category, sum(label) AS p FROM scored WHERE label IS NOT NULL GROUP BY category), r AS (SELECT id, category, label, row_number() OVER (PARTITION BY category, label ORDER BY md5(CAST(id AS VARCHAR) || 'seed'), id) AS k FROM scored WHERE label IS NOT NULL) SELECT id, r.category, label FROM r JOIN c ON r.category = c.category WHERE label = 1 OR k <= p")
+def m01_downsampled(spark, sf):
+    s = scored(spark, sf).where("label IS NOT NULL").select("id", "category", "label", F.lit(1).alias("one"), F.md5(F.concat(F.col("id").cast("string"), F.lit("seed"))).alias("h"))
+    p = s.groupBy("category").agg(F.sum("label").alias("p"))
+    r = R.running(s, ["category", "label"], [F.col("h"), F.col("id")], ["one"])
+    return r.join(p, "category").where((F.col("label") == 1) | (F.col("before_one") < F.col("p"))).select("id", "category", "label")
+
+
+# features
+
+
+@query("f15_int8", "WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS s FROM embeddings) SELECT vec_id, round(s, 6) AS scale, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor(x::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END + 0.5))) AS INTEGER)), ',') AS q FROM e")
+def f15_int8(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.select("vec_id", "v", (F.array_max(F.transform("v", lambda x: F.abs(x))) / 127).alias("s"))
+    q = F.transform("v", lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")) + 0.5))).cast("string"))
+    return e.select("vec_id", F.round("s", 6).alias("scale"), F.array_join(q, ",").alias("q"))
+
+
+@query("f16_contrast", f"WITH {SCORED} SELECT id, round(a - b, 6) AS contrast, round((a - (1 - b)) / 2, 6) AS symmetric FROM scored")
+def f16_contrast(spark, sf):
+    return scored(spark, sf).select("id", F.round(F.col("a") - F.col("b"), 6).alias("contrast"), F.round((F.col("a") - (1 - F.col("b"))) / 2, 6).alias("symmetric"))
+
+
+_WORDS = f"words AS (SELECT id, unnest(string_split({NORM.format('description')}, ' ')) AS t FROM cards), tf AS (SELECT id, t, count(*) AS c FROM words WHERE length(t) >= 2 GROUP BY id, t), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t HAVING count(*) >= 2), nn AS (SELECT count(*) AS n FROM cards), wt AS (SELECT id, tf.t, (1 + ln(c)) * (ln((1 + n) / (1 + d)::DOUBLE) + 1) AS w FROM tf JOIN df ON tf.t = df.t, nn)"
+
+
+@query("f01_tfidf", f"WITH {CARDS}, {_WORDS} SELECT id, count(*) AS n_terms, round(sqrt(sum(w * w)), 5) AS norm, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM wt GROUP BY id")
+def f01_tfidf(spark, sf):
+    c = cards(spark, sf)
+    tf = c.select("id", F.explode(F.split(T.normalized(F.col("description")), " ")).alias("t")).where("length(t) >= 2").groupBy("id", "t").agg(F.count("*").alias("c"))
+    df = tf.groupBy("t").agg(F.count("*").alias("d")).where("d >= 2")
+    n = c.select("id").agg(F.count("*").alias("n"))
+    w = tf.join(df, "t").join(F.broadcast(n)).select("id", ((1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("d"))) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    return w.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(norm, 5).alias("norm"), F.round(F.max("w") / norm, 6).alias("top"))
