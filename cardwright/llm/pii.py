@@ -28,7 +28,7 @@ from cardwright.llm.common import staged, table
 #: Possessive forms of the patterns: what follows each repeat can't begin inside it, so they match the same and neither
 #: go back nor grow the stack on long texts. A match can start only where the run of its characters starts, or where the
 #: last match ended.
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
