@@ -44,6 +44,8 @@ def counts(texts: list[str]) -> np.ndarray:
     out = np.zeros(len(data) * BUCKETS)
     last = np.cumsum(size)
     for n in SIZES:
+        if len(raw) < n:
+            continue
         gram = raw[: len(raw) - n + 1].copy()
         for k in range(1, n):
             gram |= raw[k : len(raw) - n + 1 + k] << np.uint32(8 * k)
