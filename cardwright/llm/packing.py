@@ -52,7 +52,7 @@ class Words:
         self.mark = self.plain(self.MARK)
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
 
     def learn(self, new: list[str]) -> None:
         odd = [w for w in new if self.MARK in w]
