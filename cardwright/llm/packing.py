@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,12 @@ class Words:
         return [np.frombuffer(b"".join(map(self.known.__getitem__, w)) + end, "<u4") for w in words]
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One per worker: workers live on from task to task, and with them the words they know."""
+    return Words(path)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Lengths of the pieces in a sequence, and the number of such sequences, for so many pieces of each length."""
     left = defaultdict(int, {n: c for n, c in counts.items() if c > 0})
@@ -161,7 +168,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ranks, part = Words(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        words, ranks, part = words_of(tokenizer), defaultdict(int), TaskContext.get().partitionId()
         for b in batches:
             rows = []
             for d, ids in zip(b["doc_id"], words.ids([t or "" for t in b["text"]])):
