@@ -14,6 +14,7 @@ an empty table gives no sequences. Columns other than doc_id and text are left o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from cardwright.llm.common import prepare, staged, table, texts
 
@@ -37,11 +38,17 @@ END = 0
 CACHE_WORDS = 600_000
 
 
+#: A line of letters that normalisation leaves as they are, with marks before and after them, neither "'" nor "<" among
+#: these: each of the three is a token group of its own. Or any other line.
+SIMPLE = re.compile(r"^(?:([!-&(-/:;=-@\[-`{-~]*)([a-zß-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)|(.*))$", re.MULTILINE)
+
+
 class Words:
     """Ids by the tokenizer, with a cache by word: this tokenizer's rules never look across a space.
 
-    New words go to the tokenizer as one text with MARK between them; no other text has the ids of MARK, so these tell
-    where a word ends.
+    New simple words are taken apart, and those of their parts that are new go to the tokenizer's model as one text; the
+    last id of a part tells where it ends. Other new words go to the tokenizer as one text with MARK between them; no
+    other text has the ids of MARK, so these tell where a word ends.
     """
 
     MARK = "\u2603"
@@ -49,29 +56,59 @@ class Words:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        if any("<" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token could stand in a simple word")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
         self.mark = self.plain(self.MARK)
 
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def learn(self, new: list[str]) -> None:
-        odd = [w for w in new if self.MARK in w]
-        new = [w for w in new if self.MARK not in w]
-        self.known.update((w, self.plain(w).tobytes()) for w in odd)
+    def plain(self, text: str, bare: bool = False) -> np.ndarray:
+        tokenizer = self.bare if bare else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+
+    def keep(self, into: dict[str, bytes], words: list[str], ids: np.ndarray, begin: list[int], end: list[int]) -> None:
+        if len(end) != len(words):
+            raise ValueError("the tokenizer has joined words")
+        raw = ids.tobytes()
+        into.update(zip(words, [raw[4 * i : 4 * j] for i, j in zip(begin, end)]))
+
+    def learn_parts(self, new: list[str]) -> None:
+        ids = self.plain(" ".join(new), bare=True)
+        end = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        self.keep(self.parts, new, ids, [0, *end[:-1]], end)
+
+    def learn_marked(self, new: list[str]) -> None:
         ids, k = self.plain(f" {self.MARK} ".join(new)), len(self.mark)
         at = np.flatnonzero(np.all([ids[i : len(ids) - k + 1 + i] == x for i, x in enumerate(self.mark)], axis=0)) if len(ids) >= k else np.zeros(0, int)
-        if len(at) != len(new) - 1:
-            raise ValueError("the tokenizer has joined words")
-        raw, begin, end = ids.tobytes(), [0, *(at + k).tolist()], [*at.tolist(), len(ids)]
-        self.known.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(new, begin, end))
+        self.keep(self.known, new, ids, [0, *(at + k).tolist()], [*at.tolist(), len(ids)])
+
+    def learn(self, new: list[str]) -> None:
+        before, letters, after, other = zip(*SIMPLE.findall("\n".join(new).lower()))
+        fresh = set(letters).union(before, after).difference(self.parts)
+        if fresh:
+            self.learn_parts(list(fresh))
+        of = self.parts.__getitem__
+        self.known.update(zip(new, map(b"".join, zip(map(of, before), map(of, letters), map(of, after)))))
+        rest = [w for w, o in zip(new, other) if o]
+        self.known.update((w, self.plain(w).tobytes()) for w in rest if self.MARK in w)
+        rest = [w for w in rest if self.MARK not in w]
+        if rest:
+            self.learn_marked(rest)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        words = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = set().union(*words)
+            self.forget()
+            new = set().union(*words).difference(self.known)
         if new:
             self.learn(list(new))
         end = END.to_bytes(4, "little")
