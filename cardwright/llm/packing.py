@@ -34,8 +34,8 @@ from cardwright.llm.common import prepare, staged, table, texts
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers: some 400 MB at most.
+CACHE_WORDS = 1_500_000
 
 
 #: A line of letters that normalisation leaves as they are, with marks before and after them, neither "'" nor "<" among
