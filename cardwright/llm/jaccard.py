@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import hot_join, prepare, staged, table, texts, unstage
+from cardwright.llm.common import hot_join, prepare, staged, table, texts, trim, unstage
 from cardwright.llm.shingles import sets
 from cardwright.operators.components import connected_components
 from cardwright.session import release
@@ -62,6 +62,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
 
         size = 0
         for b in batches:
+            trim()
             own = sets([t or "" for t in b["text"]], width)
             held += own
             size += sum(map(len, own))
@@ -124,6 +125,7 @@ def prefixes(docs: DataFrame, width: int, least: int, common) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for b in batches:
+            trim()
             token, doc, size, extra = [], [], [], []
             for d, own in zip(b["doc_id"], sets([t or "" for t in b["text"]], width)):
                 digest = xxhash.xxh3_128_digest(own.tobytes())
@@ -160,6 +162,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, packer = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(level=3)
         for b in batches:
+            trim()
             b = b[kept[b["slot"].to_numpy(np.int64)]]
             own = sets(list(b["text"]), width)
             yield pd.DataFrame({"doc": b["doc_id"], "n": [len(x) for x in own], "bits": list(map(parity, own)), "data": [packer.compress(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
@@ -308,6 +311,7 @@ def tiled(members: DataFrame, data: DataFrame, width: int, least: int) -> DataFr
     """
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
+        trim()
         rows = rows.sort_values(["doc", "data"])
         own = sets([zstandard.decompress(x).decode("utf-8", "surrogatepass") for x in rows["data"]], width)
         n, doc, group, part = np.array([len(x) for x in own]), rows["doc"].to_numpy(), rows["group"].to_numpy(), rows["part"].to_numpy()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import prepare, table
+from cardwright.llm.common import prepare, table, trim
 
 BUCKETS = 8192
 WIDTH = 16
@@ -158,6 +158,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         plain = [t or "" for t in texts]
         letters = np.array([any(map(str.isalpha, t)) for t in plain], bool)
         langs, score = sent.value.predict(plain)
+        trim()
         return pd.DataFrame({"lang_pred": np.where(letters, np.array(langs, object), UNKNOWN), "score": np.where(letters, score, 0.0).astype(float)})
 
     rest = docs.drop("_seen", "lang_pred", "score", "rejected").withColumn("_seen", predict(F.col("text").cast("string")))
