@@ -14,7 +14,9 @@ Documents are kept in blocks of some MB, a row each. Every pass first looks insi
 stretches or windows is left, and then sends one record for each to the digit's bucket. So a passage that a third of all
 documents hold meets at most once per block. Buckets answer each block; the blocks then put the answers together.
 
-Digits are hashes; two windows count as equal if they agree in one of 64 bits and 24 bits of another, so in 88 bits.
+Digits are hashes. Two stretches count as equal if they agree in all 64 bits of their minimizer's hash and of their own; two
+windows if they agree in the 64 bits of their own hash and 24 of their minimizer's. What shares a minimizer is so told apart
+by the 64 bits of its own hash.
 
 Defined results: a null text is an empty one. The earlier of two windows is that of the smaller doc_id (null first), then,
 for rows that repeat a doc_id, that of the earlier block and row. Texts are read whole; texts under WIDTH bytes lose nothing.
@@ -169,15 +171,15 @@ def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def sent(block: int, buckets: int, key: np.ndarray, more: np.ndarray, ids: np.ndarray, mixed: np.ndarray) -> pd.DataFrame:
-    """A row for each bucket that gets any of the records: 88 bits of digits, and packed ids and marks."""
+def sent(block: int, buckets: int, key: np.ndarray, more: np.ndarray, ids: np.ndarray, mixed: np.ndarray, width: int = 8) -> pd.DataFrame:
+    """A row for each bucket that gets any of the records: the key, width bytes of the other digit, and packed ids and marks."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((ids, bucket))
     names, at = np.unique(bucket[order], return_index=True)
     packer, rows = zstandard.ZstdCompressor(level=3), []
     for name, pick in zip(names.tolist(), np.split(order, at[1:])):
         rest = packer.compress(np.diff(ids[pick], prepend=np.int64(0)).tobytes() + np.packbits(mixed[pick]).tobytes())
-        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), rest))
+        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), rest))
     return pd.DataFrame(rows, columns=["bucket", "block", "n", "digits", "rest"])
 
 
@@ -188,15 +190,17 @@ def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         raw = zstandard.decompress(rest)
         ids = np.cumsum(np.frombuffer(raw, np.int64, n))
         mixed = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool)
-        out.append((np.frombuffer(digits, "<u8", n), np.pad(np.frombuffer(digits, np.uint8, 3 * n, 8 * n).reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel(), ids, mixed, np.full(n, block, np.int64)))
+        width = len(digits) // n - 8
+        more = np.frombuffer(digits, "<u8", n, 8 * n) if width == 8 else np.pad(np.frombuffer(digits, np.uint8, width * n, 8 * n).reshape(-1, width), ((0, 0), (0, 4 - width))).view("<u4").ravel()
+        out.append((np.frombuffer(digits, "<u8", n), more, ids, mixed, np.full(n, block, np.int64)))
     return tuple(map(np.concatenate, zip(*out)))
 
 
 RECORDS = "bucket int, block long, n int, digits binary, rest binary"
 ANSWER = np.dtype([("digit", "<u8"), ("code", "u1")])
 REPEAT, MIXED = 1, 2
-#: The bits that are sent of the second digit.
-HALF = np.uint64(0xFFFFFF)
+#: The bits of its minimizer's hash that are sent with a window's own hash, and their bytes.
+HALF, HALF_BYTES = np.uint64(0xFFFFFF), 3
 
 
 def local(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +229,7 @@ def first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
                 pick = np.flatnonzero(first)
                 _, at = np.unique(s.digit[pick], return_index=True)  # of several kinds, one stands for all
                 pick = pick[at]
-                yield sent(block, buckets, s.digit[pick], s.kind[pick] & HALF, s.ids[s.rank[pick]], mixed[pick])
+                yield sent(block, buckets, s.digit[pick], s.kind[pick], s.ids[s.rank[pick]], mixed[pick])
 
     return blocks.mapInPandas(run, RECORDS)
 
@@ -309,7 +313,7 @@ def third_pass(buckets: int):
         begin, window, digit, rank = open_windows(s, settle(s, notes)[1])
         order, new = firsts(window, digit, begin + (rank << 40))
         pick = order[new]
-        return sent(int(held["block"].iloc[0]), buckets, window[pick], digit[pick], s.ids[rank[pick]], np.zeros(len(pick), bool))
+        return sent(int(held["block"].iloc[0]), buckets, window[pick], digit[pick], s.ids[rank[pick]], np.zeros(len(pick), bool), HALF_BYTES)
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -13,6 +14,7 @@ import duckdb
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -134,6 +136,18 @@ def test_repeats(request, which):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_different_stretches_are_no_repeats(spark):
+    """Two texts that share 32 bytes only, the minimizer of all their windows, and 24 bits of their hashes."""
+    made = []
+    for seed in (768, 2646):
+        rest = "".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=136))
+        made.append(f"{rest[:68]}rv cczfy cdlw qj oazrgeqaasgnpyg{rest[68:]}")
+    low = {xxhash.xxh3_64_intdigest(t.encode()) & 0xFFFFFF for t in made}
+    assert len(low) == 1
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.cut_repeats(df).collect()) == [(0, 168, 0), (1, 168, 0)]
+
+
 def shingles(text: str | None, width: int) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
