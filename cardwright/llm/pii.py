@@ -43,8 +43,13 @@ ADDED = {
     "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{L}{1,30}(?:\x20\p{Lu}\p{L}{1,30})?",
 }
 KINDS = [*BASE, *ADDED]
-#: Cheap tests that a text must pass before a kind's pattern is tried.
-NEEDS = {"email": "@", "phone": "+", "account": None}
+#: Cheap tests that a text must pass before a kind's pattern is tried: each is implied by its pattern. The other kinds need a digit.
+NEEDS = {
+    "email": lambda text: text.contains("@"),
+    "phone": lambda text: text.contains("+"),
+    "spelled_email": lambda text: text.rlike(r"(?i)[(\[]at[)\]]"),
+    "person": lambda text: F.lit(True),
+}
 SPAN = "struct<start:int,kind:int,end:int,text:string,before:string>"
 BEFORE = 32
 LABELERS = ("regex", "gazetteer", "context", "opposed", "shape")
@@ -94,7 +99,7 @@ def matches(text: Column, kind: str) -> Column:
         return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
     found = F.filter(F.aggregate(pairs, start, step, lambda acc: acc["out"]), lambda s: valid(kind, s["text"]))
-    needed = text.contains(NEEDS[kind]) if NEEDS.get(kind) else text.rlike(r"[0-9]") if kind != "person" else F.lit(True)
+    needed = NEEDS[kind](text) if kind in NEEDS else text.rlike(r"[0-9]")
     return F.when(needed & text.rlike(pattern), found).otherwise(none)
 
 

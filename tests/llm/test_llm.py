@@ -102,6 +102,16 @@ def test_masked(odd):
     assert pii.masked(odd.limit(0)).count() == 0
 
 
+def test_spelled_addresses_in_texts_without_digits(spark):
+    text = "contact jane (at) example (dot) org"
+    df = spark.createDataFrame([(1, text), (2, "mail JOHN[AT]example[DOT]com now"), (3, "nothing (at) all")], "doc_id long, text string")
+    kind = pii.KINDS.index("spelled_email")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.candidates(df, "doc_id").collect()}
+    assert found == {1: [(kind, 8, 35)], 2: [(kind, 5, 28)], 3: []}
+    assert {r.doc_id: r.spans for r in pii.report(df).collect()} == {1: "spelled_email:8:35", 2: "spelled_email:5:28", 3: ""}
+    assert {r.doc_id: r.text for r in pii.masked(df).collect()}[1] == "contact [SPELLED_EMAIL]"
+
+
 def secret(text: str) -> list[tuple[int, int, int]]:
     forms = [
         (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
