@@ -13,12 +13,15 @@ SHINGLE, KEPT, BAND = 8, 16, 4
 CROWD = 60
 
 
-def exact_keys(cards: DataFrame) -> DataFrame:
-    """id, category, label, kind, ord, key: whole card, description of 40 characters or more, name of 10 or more."""
+def exact_keys(cards: DataFrame, empty: bool = False) -> DataFrame:
+    """id, category, label, kind, ord, key: whole card, description of 40 characters or more, name of 10 or more.
+
+    Grouping asks for empty cards too: their whole card is a key like any other, so it links all of them.
+    """
     n, d = normalized(F.col("name")), normalized(F.col("description"))
     rows = cards.select("id", "category", "label", n.alias("n"), d.alias("d"))
     key = lambda kind, test, value: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("ord"), F.when(test, digest(value)).alias("key"))
-    keys = F.array(key("name_desc", F.length(F.concat("n", "d")) > 0, F.concat_ws("|", "n", "d")), key("desc", F.length("d") >= 40, F.col("d")), key("name", F.length("n") >= 10, F.col("n")))
+    keys = F.array(key("name_desc", F.lit(True) if empty else F.length(F.concat("n", "d")) > 0, F.concat_ws("|", "n", "d")), key("desc", F.length("d") >= 40, F.col("d")), key("name", F.length("n") >= 10, F.col("n")))
     return rows.select("id", "category", "label", F.explode(keys).alias("k")).select("id", "category", "label", "k.*").where("key IS NOT NULL")
 
 

@@ -198,35 +198,35 @@ _PURITY = """g AS (SELECT category, grp, count(*) AS n, avg(label) AS m FROM gro
  count(*) FILTER (n > 1 AND m > 0 AND m < 1) AS n_mixed, round(CASE WHEN count(*) FILTER (n > 1) > 0 THEN 1 - count(*) FILTER (n > 1 AND m > 0 AND m < 1) / (count(*) FILTER (n > 1))::DOUBLE ELSE 1 END, 6) AS purity FROM g GROUP BY category"""
 
 
-def _keys(spark, sf):
+def _keys(spark, sf, empty=False):
     c = cards(spark, sf)
-    return c, D.exact_keys(c).unionByName(D.bands(c))
+    return c, D.exact_keys(c, empty).unionByName(D.bands(c))
 
 
 @query("g05_links", f"WITH {_ALL}, {_EDGES} SELECT a, b FROM edges")
 def g05_links(spark, sf):
-    return D.star_edges(_keys(spark, sf)[1])
+    return D.star_edges(_keys(spark, sf, empty=True)[1])
 
 
 @query("g08_components", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS} SELECT id, grp FROM grouped")
 def g08_components(spark, sf):
-    return D.groups(*_keys(spark, sf)).select("id", "grp")
+    return D.groups(*_keys(spark, sf, empty=True)).select("id", "grp")
 
 
 @query("g08_duplicate_groups", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, {_PURITY}")
 def g08_duplicate_groups(spark, sf):
-    return D.purity(D.groups(*_keys(spark, sf)), "category")
+    return D.purity(D.groups(*_keys(spark, sf, empty=True)), "category")
 
 
 @query("g09_ablation", f"WITH RECURSIVE {CARDS}, {_KEYS}, allkeys AS (SELECT id, kind, key FROM keys), {_EDGES}, {_GROUPS}, {_PURITY}")
 def g09_ablation(spark, sf):
     c = cards(spark, sf)
-    return D.purity(D.groups(c, D.exact_keys(c)), "category")
+    return D.purity(D.groups(c, D.exact_keys(c, empty=True)), "category")
 
 
 @query("a03_rare_stats", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, s AS (SELECT grp, count(*) AS n FROM grouped GROUP BY grp) SELECT category, count(*) AS positives, count(DISTINCT g.grp) AS n_groups, count(*) FILTER (n > 1) AS with_sibling FROM grouped g JOIN s ON g.grp = s.grp WHERE label = 1 GROUP BY category")
 def a03_rare_stats(spark, sf):
-    g = D.groups(*_keys(spark, sf))
+    g = D.groups(*_keys(spark, sf, empty=True))
     size = g.groupBy("grp").agg(F.count("*").alias("n"))
     return g.where("label = 1").join(size, "grp").groupBy("category").agg(F.count("*").alias("positives"), F.count_distinct("grp").alias("n_groups"), F.count_if(F.col("n") > 1).alias("with_sibling"))
 
