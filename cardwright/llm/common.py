@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.session import new_folder, shared_dir, staged, unstage  # noqa: F401
+from cardwright.session import new_folder, shared_dir, staged, stepwise, unstage  # noqa: F401
 
-#: Rows of a batch that goes to Python. Texts may be long, so batches are small.
+#: Rows that Python works on at a time. Texts may be long, so there are few.
 BATCH_ROWS = 256
 #: A key is hot if it has more than this share of the rows; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small(batches: Iterator, rows: int = BATCH_ROWS) -> Iterator:
+    """The batches, cut to so many rows: a lazy result runs under the caller's settings, which may send thousands."""
+    for b in batches:
+        for at in range(0, max(1, len(b)), rows):
+            yield b.iloc[at : at + rows].reset_index(drop=True)
 
 
 def trim() -> None:
@@ -36,6 +39,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """texts() with doc_id as a string, as it goes to Python: pandas would make ids floats beside nulls."""
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def numbered(named: DataFrame) -> DataFrame:
+    """doc_id as a number again."""
+    return named.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -22,7 +22,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwright.llm.common import prepare, table, texts
+from cardwright.llm.common import named_texts, numbered, small, table
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,7 +51,7 @@ KINDS: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]]
     "pem": (("-----begin",), re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), lambda m: True),
 }
 BASE = ("assign", "access", "hex")
-SPANS = "doc_id long, kind string, start int, end int"
+SPANS = "doc_id string, kind string, start int, end int"
 
 
 @cache
@@ -92,24 +92,22 @@ def joined(spans: list[tuple[int, int, str]], names: list[str]) -> str:
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """A row per span: doc_id, kind, start, end."""
-    prepare(docs.sparkSession)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = list(KINDS)
-        for b in batches:
-            yield pd.DataFrame([(d, names[k], s, e) for d, t in zip(b["doc_id"].astype("Int64"), b["text"]) for s, k, e in scan(t or "")], columns=["doc_id", "kind", "start", "end"])
+        for b in small(batches):
+            yield pd.DataFrame([(d, names[k], s, e) for d, t in zip(b["doc_id"], b["text"]) for s, k, e in scan(t or "")], columns=["doc_id", "kind", "start", "end"])
 
-    return texts(docs).mapInPandas(find, SPANS)
+    return numbered(named_texts(docs).mapInPandas(find, SPANS))
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """A row per document: counts of the base kinds, their digest, and all spans."""
-    prepare(docs.sparkSession)
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, n = list(KINDS), len(BASE)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for t in b["text"]:
                 spans = scan(t or "")
@@ -119,7 +117,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return texts(docs).mapInPandas(find, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return numbered(named_texts(docs).mapInPandas(find, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
