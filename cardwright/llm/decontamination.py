@@ -2,30 +2,42 @@
 
 Texts and benchmark items are case-folded and their white space folded to single spaces. A passage of a text that is an
 item but for k edits (of bytes) shares at least m + 1 - q (k + 1) of the item's q-grams with it, m being its bytes, and
-their diagonals (place in the text less place in the item) lie within k + 1 of one another. So shared q-grams are counted
-in bands of 2 (k + 1) diagonals, each overlapping half of the next; only bands which reach that number are aligned, by a
-banded dynamic program over the whole item. An item's budget is ERRORS of its bytes, less where the lemma would say
-nothing; items of fewer than q bytes are looked for as they are.
+their diagonals (place in the text less place in the item) lie within k of one another. So shared q-grams are counted in
+bands of 2 (k + 1) diagonals, each overlapping half of the next; only bands which reach that number are aligned, by a
+dynamic program over the band's diagonals and the k on either side that the passage's ends may reach. An item's budget is
+ERRORS of its bytes, less where the lemma would say nothing; items of fewer than q bytes are looked for as they are.
 
-Defined results: null or empty texts and items hit nothing; an item_id that repeats gives its best hit; repeated
-documents are each reported. Texts are read whole. The benchmark goes out in blocks of at most BLOCK_BYTES.
+Every passage is reported. Of overlapping passages of one item that with the fewest edits stays, then the first.
+
+The benchmark is written to the shared folder in blocks of at most BLOCK_BYTES (a longer item is a block of its own). The
+corpus is read once; a worker holds one block at a time and takes it through CHUNK_ROWS documents, so neither the number
+of scans nor any worker's memory grows with the benchmark.
+
+Defined results: null or empty texts and items hit nothing; an item without an id is reported with a null one, an id that
+repeats with the passages of each of its items; repeated documents are each reported, also without an id. Texts are read
+whole.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import prepare, table, texts
+from cardwright.llm.common import named_texts, new_folder, numbered, small, table, trim
+from cardwright.llm.storage import Reader, opened
 
 Q = 8
 ERRORS = 0.1
 BLOCK_BYTES = 4 << 20
-HITS = "doc_id long, item_id long, start long, end long, edits long"
+CHUNK_ROWS = 4096
+HITS = "doc_id string, item_id string, start long, end long, edits long"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BITS = 20
 
@@ -49,27 +61,34 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return a[:-4] | a[4:] << np.uint64(32)
 
 
-def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int] | None:
-    """Least edits that turn the item into some stretch of the text, and the stretch's first end; None beyond k."""
-    n = len(text)
-    step = np.arange(n + 1, dtype=np.int32)
-    row = np.zeros(n + 1, np.int32)
-    for i, c in enumerate(item):
-        new = np.empty_like(row)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - step) + step
-        if i % 16 == 15 and row.min() > k:
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
+    """Least edits that turn the item into a stretch of the text along the diagonals from low to high, and the stretch's
+    first end; None beyond k. Cell d of a row is the place row + low + d of the text."""
+    width = high - low + 1
+    step = np.arange(width, dtype=np.int32)
+    far = np.int32(len(item) + len(text) + 1)
+    place = low + step.astype(np.int64)  # of the text, before the first byte of the item
+    cost = np.where((place >= 0) & (place <= len(text)), np.int32(0), far).astype(np.int32)
+    padded = np.concatenate([np.full(max(0, -low) + 1, -1, np.int16), text.astype(np.int16), np.full(max(0, high + len(item) - len(text)) + 1, -1, np.int16)])
+    shift = max(0, -low) + 1 + low
+    for i, c in enumerate(item.tolist()):
+        new = cost + (padded[shift + i : shift + i + width] != c)  # the byte of the text that a step along d takes
+        np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])
+        place += 1
+        new[(place < 0) | (place > len(text))] = far
+        cost = np.minimum.accumulate(new - step) + step
+        cost[place > len(text)] = far
+        if i % 16 == 15 and cost.min() > k:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= k else None
+    at = int(cost.argmin())
+    return (int(cost[at]), int(place[at])) if cost[at] <= k else None
 
 
 class Benchmark:
     """The q-grams of a block of items, and where they stand."""
 
-    def __init__(self, ids: list[int], items: list[bytes]):
-        self.ids, self.items = np.array(ids, np.int64), items
+    def __init__(self, ids: list[str | None], items: list[bytes]):
+        self.ids, self.items = ids, items
         self.size = np.array([len(x) for x in items], np.int64)
         self.k = np.array([budget(n) for n in self.size], np.int64)
         self.least = np.maximum(1, self.size + 1 - Q * (self.k + 1))
@@ -90,28 +109,34 @@ class Benchmark:
         return (gram * MULTIPLIER) >> np.uint64(64 - BITS)
 
     def hits(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """Number of the document, number of the item, start, end, edits: the best of each pair."""
+        """Number of the document, number of the item, start, end, edits of each passage."""
         whole = (b"\0" * Q).join(docs)
-        raw = np.frombuffer(whole, np.uint8)
-        size = np.array([len(d) for d in docs])
+        size = np.array([len(d) for d in docs], np.int64)
         begins = np.cumsum(size + Q) - size - Q
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
         for i in self.short:
             for d, doc in enumerate(docs):
-                if (at := doc.find(self.items[i])) >= 0:
-                    best[d, i] = (0, at, at + len(self.items[i]))
-        for item, low, high in self.bands(grams(raw)):
-            d = int(np.searchsorted(begins, (low + high) // 2, side="right")) - 1
-            low, high = max(low, begins[d]), min(high, begins[d] + size[d])
-            if high > low:
-                found = self.verified(item, whole[low:high])
-                if found:
-                    now = (found[0], found[1] + int(low - begins[d]), found[2] + int(low - begins[d]))
-                    best[d, item] = min(best.get((d, item), now), now)
-        return [(d, i, s, e, n) for (d, i), (n, s, e) in best.items()]
-
-    def bands(self, gram: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Item, first and last place of the text, for each band with enough shared q-grams."""
+                for m in re.finditer(re.escape(self.items[i]), doc):
+                    found.setdefault((d, i), set()).add((0, m.start(), m.end()))
+        raw = np.frombuffer(whole, np.uint8)
+        for item, low, high, left, right in self.bands(grams(raw)):
+            m, k = int(self.size[item]), int(self.k[item])
+            for d in range(*(np.searchsorted(begins, [left, right], side="right") + [-1, 0])):  # several, where documents are short
+                first, last = max(int(begins[d]), low - k), min(int(begins[d] + size[d]), high + m + k)
+                if last > first and (hit := self.verified(item, whole[first:last], low - k - first, high + k - first)):
+                    shift = first - int(begins[d])
+                    found.setdefault((d, item), set()).add((hit[0], hit[1] + shift, hit[2] + shift))
+        out = []
+        for (d, i), all_ in found.items():
+            kept: list[tuple[int, int, int]] = []
+            for n, s, e in sorted(all_):
+                if all(e <= a or s >= b for _, a, b in kept):
+                    kept.append((n, s, e))
+                    out.append((d, i, s, e, n))
+        return out
+
+    def bands(self, gram: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Item, first and last diagonal, first and last place of a shared q-gram, for each band with enough shared q-grams."""
         at = np.flatnonzero(self.marked[self.slot(gram)])
         if not len(at) or not len(self.gram):
             return
@@ -122,89 +147,109 @@ class Benchmark:
         if not many.sum():
             return
         row = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, diagonal = self.item[row], np.repeat(at, many) - self.place[row]
+        item, place = self.item[row], np.repeat(at, many)
         width = self.k[item] + 1
-        band = diagonal // width + (1 << 30)
-        key, count = np.unique(item << 40 | band, return_counts=True)
-        joint = np.zeros(len(key), bool)
-        joint[:-1] = key[1:] == key[:-1] + 1
-        both = count + np.where(joint, np.append(count[1:], 0), 0)
-        # a band with the half before it, where that half is empty, is a band too, but no better than this one
-        passed = np.flatnonzero(both >= self.least[key >> 40])
-        for x in key[passed]:
-            i = int(x >> 40)
-            w, low = int(self.k[i]) + 1, (int(x & ((1 << 40) - 1)) - (1 << 30)) * (int(self.k[i]) + 1)
-            yield i, low, low + 2 * w + int(self.size[i] + self.k[i])
-
-    def verified(self, item: int, region: bytes) -> tuple[int, int, int] | None:
-        """Edits, start and end in the region."""
-        want = self.items[item]
-        if (at := region.find(want)) >= 0:
+        key = item << 40 | (place - self.place[row]) // width + (1 << 30)
+        order = np.argsort(key, kind="stable")  # so a band's places rise
+        key, first, count = np.unique(key[order], return_index=True, return_counts=True)
+        left, right = place[order][first], place[order][first + count - 1]
+        for x in np.flatnonzero(count + np.where(np.append(key[1:], 0) == key + 1, np.append(count[1:], 0), 0) >= self.least[key >> 40]).tolist():
+            # a band whose first half is empty has its q-grams in the first half of the next one, and is among the k diagonals beside it
+            i, joint = int(key[x] >> 40), x + 1 < len(key) and key[x + 1] == key[x] + 1
+            w = int(self.k[i]) + 1
+            low = (int(key[x] & ((1 << 40) - 1)) - (1 << 30)) * w
+            yield i, low, low + 2 * w - 1, min(left[x], left[x + joint]), max(right[x], right[x + joint])
+
+    def verified(self, item: int, region: bytes, low: int, high: int) -> tuple[int, int, int] | None:
+        """Edits, start and end in the region, of a passage along the diagonals from low to high."""
+        want, k = self.items[item], int(self.k[item])
+        at = region.find(want, max(0, low))
+        if 0 <= at <= high:
             return 0, at, at + len(want)
         a, b = np.frombuffer(want, np.uint8), np.frombuffer(region, np.uint8)
-        forth = align(a, b, int(self.k[item]))
-        if forth is None:
+        if (forth := align(a, b, low, high, k)) is None:
             return None
-        back = align(a[::-1], b[: forth[1]][::-1], int(self.k[item]))
-        return forth[0], forth[1] - (back[1] if back else len(want)), forth[1]
+        edits, end = forth
+        back = align(a[::-1], b[:end][::-1], -k, k, k)  # backwards from the end, so along the diagonals about 0
+        return edits, end - (back[1] if back else len(want)), end
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
-    """The benchmark, a bounded part at a time."""
+def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """The benchmark, written a bounded part at a time to the shared folder; the files' names."""
+    folder, names = new_folder(items.sparkSession, "benchmark"), []
     ids, found, size = [], [], 0
-    for r in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL").toLocalIterator():
+
+    def close() -> None:
+        nonlocal ids, found, size
+        if found:
+            names.append(f"{folder}/{len(names)}")
+            store, path = opened(names[-1])
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(path, compression=None) as f:
+                f.write(pickle.dumps((ids, found)))
+        ids, found, size = [], [], 0
+
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         form = canonical(r.text)
-        if not form:
-            continue
-        if found and size + len(form) > block_bytes:
-            yield Benchmark(ids, found)
-            ids, found, size = [], [], 0
-        ids.append(r.item_id)
-        found.append(form)
-        size += len(form)
-    if found:
-        yield Benchmark(ids, found)
-
-
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row per document and item that it holds: doc_id, item_id, start, end (bytes of the folded text), edits."""
-    spark = docs.sparkSession
-    prepare(spark)
-    out = spark.createDataFrame([], HITS)
-    for block in blocks(items):
-        sent = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            bench = sent.value
-            for b in batches:
-                ids, rows = b["doc_id"].tolist(), {}
-                for d, i, s, e, n in bench.hits([canonical(t) for t in b["text"]]):
-                    pair = (d, int(bench.ids[i]))
-                    rows[pair] = min(rows.get(pair, (n, s, e)), (n, s, e))
-                yield pd.DataFrame([(ids[d], i, s, e, n) for (d, i), (n, s, e) in rows.items()], columns=["doc_id", "item_id", "start", "end", "edits"])
-
-        out = out.unionByName(texts(docs).mapInPandas(find, HITS))
-    return out
-
-
-def flagged(docs: DataFrame, items: DataFrame, column: str = "leaked") -> DataFrame:
+        if form:
+            if size + len(form) > block_bytes:
+                close()
+            ids.append(r.item_id)
+            found.append(form)
+            size += len(form)
+    close()
+    return names
+
+
+@lru_cache(maxsize=1)
+def block_of(name: str) -> Benchmark:
+    """One at a time in each worker."""
+    return Benchmark(*pickle.loads(Reader().whole(name)))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per passage: doc_id, item_id, start, end (bytes of the folded text), edits."""
+    names = blocks(items, block_bytes)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def search() -> Iterator[pd.DataFrame]:
+            for name in names:
+                bench = block_of(name)
+                for b in held:
+                    rows = [(b["doc_id"].iloc[d], bench.ids[i], s, e, n) for d, i, s, e, n in bench.hits([canonical(t) for t in b["text"]])]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"])
+            held.clear()
+            trim()
+
+        for b in small(batches):
+            held.append(b)
+            if sum(map(len, held)) >= (CHUNK_ROWS if len(names) > 1 else 1):
+                yield from search()
+        if held:
+            yield from search()
+
+    out = numbered(named_texts(docs).mapInPandas(find, HITS))
+    return out.withColumn("item_id", F.col("item_id").cast("long"))
+
+
+def flagged(docs: DataFrame, items: DataFrame, column: str = "leaked", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, with a boolean column that tells whether any item is in the text; rows and other columns stay as they are."""
-    spark = docs.sparkSession
-    prepare(spark)
-
-    def test(sent):
-        @F.pandas_udf("boolean")
-        def holds(column: pd.Series) -> pd.Series:
-            hit = np.zeros(len(column), bool)
-            hit[[d for d, *_ in sent.value.hits([canonical(t) for t in column])]] = True
-            return pd.Series(hit)
-
-        return holds(F.col("text").cast("string"))
-
-    seen = F.lit(False)
-    for block in blocks(items):
-        seen = seen | test(spark.sparkContext.broadcast(block))
-    return docs.drop(column).withColumn(column, seen)
+    names = blocks(items, block_bytes)
+
+    @F.pandas_udf("boolean")
+    def holds(column: pd.Series) -> pd.Series:
+        hit = np.zeros(len(column), bool)
+        for name in names:
+            bench = block_of(name)
+            for at in range(0, len(column), 256):
+                hit[[at + d for d, *_ in bench.hits([canonical(t) for t in column.iloc[at : at + 256]])]] = True
+        trim()
+        return pd.Series(hit)
+
+    return docs.drop(column).withColumn(column, holds(F.col("text").cast("string")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
