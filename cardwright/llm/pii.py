@@ -1,14 +1,16 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Four base kinds (email, ip, card, phone) are regular expressions with a test; their spans always stay. Wider patterns
-give further candidates: bare phone numbers, addresses written out in words, identity and account numbers, names after a
-title. Labelers vote on every candidate for or against, or abstain: the strict form (regex), word lists (gazetteer), the
-words before it (context), its digits (shape). Expectation-maximisation over the counts of each pattern of votes
-estimates how often each labeler says yes for true and for false candidates. The posteriors then train the final
-classifier, a naive Bayes over a span's own features; candidates of the added kinds that it holds for true are reported.
-
-All statistics are sums over all candidates, by pattern of votes or by feature value; the driver gets these sums, of
-which the definitions here bound the number. Texts are read whole, once: their candidates are written as an array beside
+give further candidates, the added kinds: bare phone numbers, addresses written out in words, identity and account
+numbers, names after a title. Labelers vote on every such candidate, for it (1), against it (-1) or not at all (0): the
+strict form (regex), word lists (gazetteer), the words before it (context), its digits or letters (shape).
+Expectation-maximisation over the counts of the patterns of votes estimates, kind by kind, how often each labeler casts
+each of the three for true and for false candidates; a labeler that always abstains for a kind says nothing of it. Base
+spans take no part: they would only drown the others. The posteriors then train the final classifier, a naive Bayes
+over a span's own features; candidates that it holds for true are reported.
+
+All statistics are sums over all candidates, by pattern of votes or by feature value; the driver gets these sums, at
+most 3^4 patterns and some hundred feature values for each of five kinds, and iterates on them. Texts are read whole, once: their candidates are written as an array beside
 the doc_id, and the rest runs on that.
 
 Defined results: a null text is an empty one, with no spans; repeated rows give repeated results; without candidates
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import staged, table
+from cardwright.llm.common import staged, stepwise, table
 
 #: Possessive forms of the patterns: what follows each repeat can't begin inside it, so they match the same and neither
 #: go back nor grow the stack on long texts. A match can start only where the run of its characters starts, or where the
@@ -52,9 +54,12 @@ NEEDS = {
 }
 SPAN = "struct<start:int,kind:int,end:int,text:string,before:string>"
 BEFORE = 32
-LABELERS = ("regex", "gazetteer", "context", "opposed", "shape")
+LABELERS = ("regex", "gazetteer", "context", "shape")
 CUES = r"(?i)(?:e-?mail|mail|contact|call|phone|tel|mobile|fax|card|visa|iban|account|konto|ssn|social|name|from|by|an|von|de|para)\W{0,6}$"
 AGAINST = r"(?i)(?:order|invoice|version|isbn|part|model|item|page|build|serial|id|no|nr)\W{0,4}$"
+#: Numbers that stand in manuals and forms, digits alone.
+SAMPLES = ("1234567890", "0123456789", "5555555555", "123456789", "078051120", "219099999")
+COUNTRIES = "^(?:DE|FR|ES|GB|IT|NL|AT|CH|BE|PT|PL|LU|IE|DK|SE|NO|FI)"
 DOMAINS = r"(?i)(?:com|org|net|edu|gov|info|de|fr|es|uk|io)$"
 NAMES = r"(?i)\x20(?:james|mary|john|anna|maria|peter|paul|thomas|michael|sarah|laura|david|marie|jean|pierre|hans|klaus|carlos|juan|ana|lucia|sofia|emma|louis)(?:\x20|$)"
 
@@ -103,46 +108,66 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(needed & text.rlike(pattern), found).otherwise(none)
 
 
+def remainder97(account: Column) -> Column:
+    """Of an account number with its first four characters put last and A to Z as 10 to 35; 1 for right ones."""
+    plain = F.regexp_replace(account, " ", "")
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), rest * 10 + c.cast("int")).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(turned, F.lit(0), step)
+
+
+def cue(span: Column) -> Column:
+    return F.when(span["before"].rlike(CUES), 1).when(span["before"].rlike(AGAINST), -1).otherwise(0)
+
+
 def votes(span: Column) -> dict[str, Column]:
     """1 for, -1 against, 0 to abstain."""
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), span["kind"] + 1)
-    text, n = span["text"], F.length(digits(span["text"]))
-    strict = F.when(kind.isin("email", "ip", "card", "phone"), 1).when(kind == "local_phone", F.when(text.rlike(r"^\([2-9]|^[2-9][0-9]{2}([.-])[0-9]{3}\1"), 1).otherwise(-1))
-    strict = strict.when(kind == "identity", F.when(text.rlike(r"^(?:000|666|9)|-00-|-0000$"), -1).otherwise(1)).when(kind == "account", F.when(text.rlike(r"^(?:DE|FR|ES|GB|IT|NL|AT|CH|BE|PT)"), 1).otherwise(-1)).otherwise(0)
-    listed = F.when(kind.isin("email", "spelled_email"), F.when(F.regexp_replace(text, r"[)\]]", "").rlike(DOMAINS), 1).otherwise(-1)).when(kind == "person", F.when(text.rlike(NAMES), 1).otherwise(0)).otherwise(0)
-    shape = F.when(kind.isin("card", "phone", "ip"), 1).when(kind == "account", F.when(F.length(F.regexp_replace(text, " ", "")).between(15, 34) & (n >= 8), 1).otherwise(-1)).when(kind.isin("local_phone", "identity"), F.when(F.size(F.array_distinct(F.split(digits(text), ""))) >= 4, 1).otherwise(-1)).otherwise(0)
-    return {"regex": strict, "gazetteer": listed, "context": F.when(span["before"].rlike(CUES), 1).otherwise(0), "opposed": F.when(span["before"].rlike(AGAINST), -1).otherwise(0), "shape": shape}
+    kind, text = kind_name(span), span["text"]
+    plain, yes = digits(text), lambda test: F.when(test, 1).otherwise(-1)
+    strict = F.when(kind == "local_phone", yes(text.rlike(r"^(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}([.\x20-]))[2-9][0-9]{2}(?:\1|[.\x20-])[0-9]{4}$")))
+    strict = strict.when(kind == "identity", yes(~text.rlike(r"^(?:000|666|9)|-00-|-0000$"))).when(kind == "account", yes(remainder97(text) == 1))
+    strict = strict.when(kind == "spelled_email", yes(text.rlike(r"(?i)\(at\).*\(dot\)|\[at\].*\[dot\]"))).when(kind == "person", F.when(text.rlike(r"\p{L}\x20\p{Lu}\p{L}+$"), 1).otherwise(0)).otherwise(0)
+    known = F.when(kind == "spelled_email", yes(F.regexp_replace(text, r"[)\]]", "").rlike(DOMAINS))).when(kind == "account", yes(text.rlike(COUNTRIES)))
+    known = known.when(kind == "person", F.when(text.rlike(NAMES), 1).otherwise(0)).when(plain.isin(*SAMPLES), -1).otherwise(0)
+    shape = F.when(kind == "account", yes(F.length(F.regexp_replace(text, " ", "")).between(15, 34) & (F.length(plain) >= 8))).when(kind == "person", yes(F.length(F.regexp_extract(text, r"\x20(\p{L}+)$", 1)) >= 3))
+    shape = shape.when(kind == "spelled_email", yes(text.rlike(r"^[^(\[]*[A-Za-z][^(\[]*[A-Za-z]"))).otherwise(yes(F.size(F.array_distinct(F.split(plain, ""))) >= 4))
+    return {"regex": strict, "gazetteer": known, "context": cue(span), "shape": shape}
 
 
 def features(span: Column) -> dict[str, Column]:
     """What the final classifier sees; every feature has few values."""
-    text = span["text"]
+    text, vote = span["text"], votes(span)
     return {
-        "kind": span["kind"].cast("string"),
         "length": F.least(F.floor(F.length(text) / 4), F.lit(12)).cast("string"),
-        "digits": F.least(F.length(digits(text)), F.lit(20)).cast("string"),
         "distinct": F.least(F.size(F.array_distinct(F.split(digits(text), ""))), F.lit(10)).cast("string"),
-        "cue": F.when(span["before"].rlike(CUES), "for").when(span["before"].rlike(AGAINST), "against").otherwise("none"),
+        "form": vote["regex"].cast("string"),
+        "listed": vote["gazetteer"].cast("string"),
+        "shape": vote["shape"].cast("string"),
+        "cue": vote["context"].cast("string"),
         "before": F.when(span["before"] == "", "edge").when(span["before"].rlike(r"\s$"), "space").when(span["before"].rlike(r"[\p{L}\p{N}]$"), "word").otherwise("sign"),
-        "signs": F.least(F.length(F.regexp_replace(text, r"[\p{L}\p{N}]", "")), F.lit(8)).cast("string"),
     }
 
 
+def kind_name(span: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), span["kind"] + 1)
+
+
 @dataclass
 class Model:
-    """prior, and for each labeler how often it votes yes (of its votes) on true and on false candidates; weights of feature values."""
+    """By kind: the share of true candidates, and how often each labeler casts each vote for true and for false ones;
+    weights by kind, feature and value."""
 
-    prior: float
-    true_yes: dict[str, float]
-    false_yes: dict[str, float]
-    weights: dict[str, dict[str, float]]
+    prior: dict[str, float]
+    rates: dict[str, dict[str, tuple[dict[int, float], dict[int, float]]]]
+    weights: dict[str, float]
 
     def score(self, span: Column) -> Column:
-        out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, value in features(span).items():
-            for v, w in self.weights.get(name, {}).items():
-                out = out + F.when(value == v, F.lit(w)).otherwise(0.0)
-        return out
+        table = F.create_map(*[F.lit(x) for kv in {**{f"{k}": math.log(p / (1 - p)) for k, p in self.prior.items()}, **self.weights, "": 0.0}.items() for x in kv])
+        keys = [kind_name(span), *[F.concat_ws("|", kind_name(span), F.lit(name), value) for name, value in features(span).items()]]
+        return sum((F.coalesce(F.try_element_at(table, k), F.lit(0.0)) for k in keys), F.lit(0.0))
 
 
 def candidates(docs: DataFrame, *keep: str) -> DataFrame:
@@ -152,45 +177,58 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, *([F.col("_text")] if "text" in keep else []), F.array_sort(F.concat(*[matches(F.col("_text"), k) for k in KINDS])).alias("spans"))
 
 
-def fitted(found: DataFrame, rounds: int = 25) -> Model:
-    """Learn from a table with an array of candidates in each row."""
-    spans = found.select(F.explode("spans").alias("s"))
-    marked = spans.select(*[v.alias(f"v_{k}") for k, v in votes(F.col("s")).items()], *[v.alias(f"f_{k}") for k, v in features(F.col("s")).items()])
-    # votes have three values and features at most twenty: so the sums below are few, whatever the corpus
-    patterns = staged(marked.groupBy(*[f"v_{k}" for k in LABELERS]).agg(F.count("*").cast("double").alias("n")), "votes")
-    prior, yes, no = 0.5, dict.fromkeys(LABELERS, 0.8), dict.fromkeys(LABELERS, 0.2)
+#: The first guess of a labeler's votes for true candidates; for false ones for and against change places.
+GUESS = {1: 0.55, 0: 0.35, -1: 0.1}
+#: Votes that the first guess counts for, so that no rate gets to 0 or 1.
+TRUST = 4.0
+
 
-    def posterior() -> Column:
-        z = F.lit(math.log(prior / (1 - prior)))
-        for k in LABELERS:
-            vote = F.col(f"v_{k}")
-            z = z + F.when(vote == 1, F.lit(math.log(yes[k] / no[k]))).when(vote == -1, F.lit(math.log((1 - yes[k]) / (1 - no[k])))).otherwise(0.0)
-        return 1 / (1 + F.exp(-z))
+def estimated(patterns: dict[tuple[int, ...], float], rounds: int = 100) -> tuple[float, dict[str, tuple[dict[int, float], dict[int, float]]], dict[tuple[int, ...], float]]:
+    """The share of true candidates, the labelers' rates, and how likely each pattern of votes is a true one."""
+    prior = 0.5
+    rates = {k: (dict(GUESS), {v: GUESS[-v] for v in GUESS}) for k in LABELERS}
+
+    def posterior() -> dict[tuple[int, ...], float]:
+        out = {}
+        for votes in patterns:
+            z = math.log(prior / (1 - prior)) + sum(math.log(rates[k][0][v] / rates[k][1][v]) for k, v in zip(LABELERS, votes))
+            out[votes] = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        return out
 
     for _ in range(rounds):
-        p, sums = posterior(), [F.sum("n").alias("all")]
-        sums.append(F.sum(F.col("n") * p).alias("true"))
-        for k in LABELERS:
-            for name, vote in (("yes", F.col(f"v_{k}") == 1), ("cast", F.col(f"v_{k}") != 0)):
-                sums += [F.sum(F.when(vote, F.col("n") * p).otherwise(0.0)).alias(f"{k}_{name}_true"), F.sum(F.when(vote, F.col("n") * (1 - p)).otherwise(0.0)).alias(f"{k}_{name}_false")]
-        got = patterns.agg(*sums).first()
-        if not got["all"]:
-            return Model(0.5, yes, no, {})
-        was = (prior, *yes.values(), *no.values())
-        prior = min(0.99, max(0.01, (got["true"] + 1) / (got["all"] + 2)))
-        for k in LABELERS:  # four votes of the first guess in each, so that no rate gets to 0 or 1
-            yes[k] = (got[f"{k}_yes_true"] + 3.2) / (got[f"{k}_cast_true"] + 4)
-            no[k] = (got[f"{k}_yes_false"] + 0.8) / (got[f"{k}_cast_false"] + 4)
-        if max(abs(a - b) for a, b in zip(was, (prior, *yes.values(), *no.values()))) < 1e-4:
+        p = posterior()
+        was, n = prior, sum(patterns.values())
+        prior = min(0.999, max(0.001, (sum(patterns[x] * p[x] for x in patterns) + 1) / (n + 2)))
+        for i, k in enumerate(LABELERS):
+            for side, share in enumerate((lambda x: p[x], lambda x: 1 - p[x])):
+                guess = GUESS if not side else {v: GUESS[-v] for v in GUESS}
+                cast = {v: sum(patterns[x] * share(x) for x in patterns if x[i] == v) + TRUST * guess[v] for v in GUESS}
+                rates[k][side].update({v: cast[v] / sum(cast.values()) for v in GUESS})
+        if abs(was - prior) < 1e-6:
             break
+    return prior, rates, posterior()
+
+
+def fitted(found: DataFrame) -> Model:
+    """Learn from the added kinds' candidates in a table with an array of candidates in each row."""
+    spans = found.select(F.explode(F.filter("spans", lambda s: s["kind"] >= len(BASE))).alias("s"))
+    marked = staged(spans.select(kind_name(F.col("s")).alias("kind"), F.array(*votes(F.col("s")).values()).alias("votes"), *[v.alias(f"f_{k}") for k, v in features(F.col("s")).items()]), "votes")
+    patterns: dict[str, dict[tuple[int, ...], float]] = {}
+    for r in marked.groupBy("kind", "votes").count().collect():
+        patterns.setdefault(r.kind, {})[tuple(r.votes)] = float(r["count"])
+    if not patterns:
+        return Model({}, {}, {})
+    learned = {kind: estimated(own) for kind, own in patterns.items()}
+    likely = F.create_map(*[x for kind, (_, _, p) in learned.items() for votes, share in p.items() for x in (F.lit(f"{kind}|{'|'.join(map(str, votes))}"), F.lit(share))])
     names = list(features(F.col("s")))
-    each = marked.withColumn("p", posterior()).select("p", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"f_{k}").alias("value")) for k in names])).alias("x"))
-    sums = each.groupBy("x.feature", "x.value").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false")).collect()
-    true, false = sum(r.true for r in sums) / len(names), sum(r.false for r in sums) / len(names)
-    weights: dict[str, dict[str, float]] = {}
+    p = F.element_at(likely, F.concat_ws("|", "kind", F.array_join(F.transform("votes", lambda v: v.cast("string")), "|")))
+    each = marked.select("kind", p.alias("p"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"f_{k}").alias("value")) for k in names])).alias("x"))
+    sums = each.groupBy("kind", "x.feature", "x.value").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false")).collect()
+    weights: dict[str, float] = {}
     for r in sums:
-        weights.setdefault(r.feature, {})[r.value] = round(math.log((r.true + 1) / (true + 20)) - math.log((r.false + 1) / (false + 20)), 6)
-    return Model(prior, yes, no, weights)
+        true, false = (sum(getattr(x, side) for x in sums if (x.kind, x.feature) == (r.kind, r.feature)) for side in ("true", "false"))
+        weights[f"{r.kind}|{r.feature}|{r.value}"] = round(math.log((r.true + 1) / (true + 4)) - math.log((r.false + 1) / (false + 4)), 6)
+    return Model({k: x[0] for k, x in learned.items()}, {k: x[1] for k, x in learned.items()}, weights)
 
 
 def kept(spans: Column, model: Model) -> Column:
@@ -199,14 +237,14 @@ def kept(spans: Column, model: Model) -> Column:
 
 
 def listed(spans: Column) -> Column:
-    name = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind_name(s), s["start"], s["end"])), ",")
 
 
 def number(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+@stepwise
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, their digest, and all spans."""
     found = staged(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "candidates")
@@ -216,14 +254,18 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
+@stepwise
 def masked(docs: DataFrame) -> DataFrame:
     """docs, with every span of the text replaced by its kind in brackets; overlapping spans become one mark. A null text stays null."""
-    model = fitted(staged(candidates(docs, "doc_id"), "candidates"))
-    rest = [c for c in docs.columns if c != "text"]
-    found = docs.withColumn("_spans", F.array_sort(F.concat(*[matches(F.coalesce(F.col("text"), F.lit("")), k) for k in KINDS])))
-    found = found.withColumn("_spans", kept(F.col("_spans"), model))
+    spans = "_spans"
+    while spans in docs.columns:
+        spans += "_"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = staged(docs.withColumn(spans, F.array_sort(F.concat(*[matches(text, k) for k in KINDS]))), "candidates")
+    model = fitted(found.select(F.col(spans).alias("spans")))
+    chosen = kept(F.col(spans), model)
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"), F.col("text").alias("text"))
-    mark = lambda s: F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)), F.lit("]"))
+    mark = lambda s: F.concat(F.lit("["), F.upper(kind_name(s)), F.lit("]"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] + 1 >= acc["at"]
@@ -231,9 +273,8 @@ def masked(docs: DataFrame) -> DataFrame:
         out = F.when(fresh, F.concat(acc["out"], F.array(piece, mark(s)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), out.alias("out"), acc["text"].alias("text"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(acc["text"], acc["at"], F.length(acc["text"]))))
-    text = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
-    return found.select(*rest, text.alias("text")).select(*docs.columns)
+    done = F.aggregate(chosen, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(acc["text"], acc["at"], F.length(acc["text"]))))
+    return found.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
