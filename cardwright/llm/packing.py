@@ -30,12 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from cardwright.llm.common import prepare, staged, table, texts
+from cardwright.llm.common import named_texts, numbered, small, staged, stepwise, table, trim
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a worker remembers: some 400 MB at most.
-CACHE_WORDS = 1_500_000
+#: Words, and parts of words, in each of the two generations that a worker remembers: some 150 MB in all.
+CACHE_WORDS = 200_000
 
 
 #: A line of letters that normalisation leaves as they are, with marks before and after them, neither "'" nor "<" among
@@ -63,12 +63,26 @@ class Words:
             raise ValueError("a special token could stand in a simple word")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
+        self.known, self.parts = {"": b""}, {"": b""}
+        self.old_known: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self.mark = self.plain(self.MARK)
 
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+    def age(self) -> None:
+        """Words that were not met since the last time are forgotten."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old_known = {"": b""}, self.known
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, self.old_parts = {"": b""}, self.parts
+
+    @staticmethod
+    def recalled(new: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """Those of the new words that the older generation doesn't know either; the others become known again."""
+        again = new.intersection(old) if old else ()
+        if again:
+            known.update((w, old[w]) for w in again)
+            new = new.difference(again)
+        return new
 
     def plain(self, text: str, bare: bool = False) -> np.ndarray:
         tokenizer = self.bare if bare else self.tokenizer
@@ -92,7 +106,7 @@ class Words:
 
     def learn(self, new: list[str]) -> None:
         before, letters, after, other = zip(*SIMPLE.findall("\n".join(new).lower()))
-        fresh = set(letters).union(before, after).difference(self.parts)
+        fresh = self.recalled(set(letters).union(before, after).difference(self.parts), self.parts, self.old_parts)
         if fresh:
             self.learn_parts(list(fresh))
         of = self.parts.__getitem__
@@ -105,10 +119,8 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = set().union(*words).difference(self.known)
+        self.age()
+        new = self.recalled(set().union(*words).difference(self.known), self.known, self.old_known)
         if new:
             self.learn(list(new))
         end = END.to_bytes(4, "little")
@@ -202,11 +214,11 @@ def places(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, its part and its rank there among pieces of its length."""
-    prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, ranks, part = words_of(tokenizer), defaultdict(int), TaskContext.get().partitionId()
-        for b in batches:
+        trim()
+        for b in small(batches):
             rows = []
             for d, ids in zip(b["doc_id"], words.ids([t or "" for t in b["text"]])):
                 for k, at in enumerate(range(0, len(ids), capacity)):
@@ -216,9 +228,10 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
                     ranks[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * with_ids])
 
-    return texts(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids)
+    return numbered(named_texts(docs).mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * with_ids))
 
 
+@stepwise
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids if wanted."""
     spark = docs.sparkSession
@@ -235,7 +248,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         at = np.searchsorted((runs[:, 0] << 48) + runs[:, 1], (length.to_numpy(np.int64) << 48) + rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": runs[at, 2] + rank.to_numpy() - runs[at, 1], "offset": runs[at, 3]})
 
-    out = pieces.join(before, ["part", "length"]).withColumn("place", place("length", F.col("rank") + F.col("before")))
+    out = pieces.join(before.hint("merge"), ["part", "length"])  # the counts grow with the parts: no broadcast
+    out = out.withColumn("place", place("length", F.col("rank") + F.col("before")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "place.sequence_id", "place.offset", *["ids"] * with_ids)
 
 
