@@ -2,15 +2,17 @@
 
 A document's set is its distinct word shingles. Sets are ordered by how common a shingle is (a sketch of counts over all
 documents, of fixed size), then by hash. Two sets of Jaccard similarity t or more share a shingle in their prefixes of
-n - ceil(t n) + 1, and l shingles in prefixes that are l - 1 longer. Each document takes the l that makes the estimated
-cost least, from how many prefixes hold its shingles; a pair is verified on the full sets only if it shares as many
-prefix shingles as the smaller l of the two.
+n - ceil(t n) + 1, and l shingles in prefixes that are l - 1 longer. Each document takes the level l that makes the
+estimated cost least, from how many documents' prefixes hold its shingles, and its prefix of that length alone goes into
+the buckets. A pair is a candidate if it meets in as many buckets as the smaller level of the two; only then are its sets
+compared.
 
 Equal sets are one class from the start. What is asked for is groups, so of the documents in a bucket (those that share
 a prefix shingle) not all pairs are made: first one member, the pivot, is compared with all others. Most buckets then
 hold one group and are done. In the others all pairs across groups are tested: listed where the bucket is small, and in
 tiles of bounded size by a product of matrices where it is large; there the product costs less than the filter would.
-No link between two groups is lost: each pair in a bucket is in one group, out of the size bound, or tested.
+No link between two groups is lost: a pair that shares enough prefix shingles either meets in a large bucket, and is
+tested there whatever its level, or in so many small ones, and is counted; or it is in one group, or out of the size bound.
 
 Defined results: null texts and texts without a word have the empty set and link with nothing; rows that repeat a doc_id
 are one node, linked to all that any of them is; a null doc_id has a null component. Texts are read whole.
@@ -28,10 +30,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import hot_join, prepare, staged, table, texts, trim, unstage
+from cardwright.llm.common import hot_join, named_texts, numbered, small, staged, stepwise, table, texts, trim, unstage
 from cardwright.llm.shingles import sets
 from cardwright.operators.components import connected_components
-from cardwright.session import release
 
 WIDTH = 5
 #: Similarity of a link, in hundredths.
@@ -74,7 +75,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
         if sketch.any():
             yield pd.DataFrame({"doc_id": None, "n": None, "digest": None, "chunk": range(CHUNKS), "counts": [zstandard.compress(x.tobytes(), 1) for x in np.split(sketch, CHUNKS)]})
 
-    return staged(texts(docs).mapInPandas(scan, "doc_id long, n long, digest string, chunk int, counts binary"), "shingle-sets")
+    return staged(numbered(named_texts(docs).mapInPandas(scan, "doc_id string, n long, digest string, chunk int, counts binary")), "shingle-sets")
 
 
 def added(rows: DataFrame, *keys: str) -> DataFrame:
@@ -172,7 +173,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, data: DataFrame, least: int) -> DataFrame:
-    """Those pairs (a, b, level) whose parities don't tell that the sets differ in more shingles than similar ones can."""
+    """Those pairs (a, b) whose parities don't tell that the sets differ in more shingles than similar ones can."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,34 +182,31 @@ def plausible(pairs: DataFrame, data: DataFrame, least: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("bits_a", "bits_b"))
             both = (b["n_a"] + b["n_b"]).to_numpy(np.int64)
             differ = both - 2 * -(-least * both // (100 + least))
-            yield b.loc[np.bitwise_count(x ^ y).sum(1) <= differ, ["a", "b", "level"]]
+            yield b.loc[np.bitwise_count(x ^ y).sum(1) <= differ, ["a", "b"]]
 
     for side in ("a", "b"):
         pairs = pairs.join(data.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
-    return staged(pairs.mapInPandas(check, "a long, b long, level int"), "plausible")
+    return staged(pairs.mapInPandas(check, "a long, b long"), "plausible")
 
 
-def verified(pairs: DataFrame, data: DataFrame, width: int, least: int, common) -> DataFrame:
-    """a, b of the pairs (a, b, level) that are links."""
+def verified(pairs: DataFrame, data: DataFrame, width: int, least: int) -> DataFrame:
+    """a, b of the pairs (a, b) that are links."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpacker, held = zstandard.ZstdDecompressor(), OrderedDict()
 
-        def own(doc: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def own(doc: int, data: bytes) -> np.ndarray:
             if (doc, data) not in held:
                 if len(held) >= 64:
                     held.popitem(last=False)
-                one = sets([unpacker.decompress(data).decode("utf-8", "surrogatepass")], width)[0]
-                held[doc, data] = one, prefix(one, common.value, least)
+                held[doc, data] = sets([unpacker.decompress(data).decode("utf-8", "surrogatepass")], width)[0]
             held.move_to_end((doc, data))
             return held[doc, data]
 
         for b in batches:
             out = []
-            for x, y, level, tx, ty in zip(b["a"], b["b"], b["level"], b["ta"], b["tb"]):
-                (s, (p, k)), (t, (q, m)) = own(x, tx), own(y, ty)
-                if len(np.intersect1d(p[: k + level - 1], q[: m + level - 1], True)) < min(level, alpha(len(s), least), alpha(len(t), least)):
-                    continue
+            for x, y, tx, ty in zip(b["a"], b["b"], b["ta"], b["tb"]):
+                s, t = own(x, tx), own(y, ty)
                 shared = len(np.intersect1d(s, t, True))
                 if 100 * shared >= least * (len(s) + len(t) - shared):
                     out.append((x, y))
@@ -216,7 +214,15 @@ def verified(pairs: DataFrame, data: DataFrame, width: int, least: int, common)
 
     first = pairs.join(data.select(F.col("doc").alias("a"), F.col("data").alias("ta")).hint("merge"), "a")
     both = first.join(data.select(F.col("doc").alias("b"), F.col("data").alias("tb")).hint("merge"), "b")
-    return both.select("a", "b", "level", "ta", "tb").mapInPandas(check, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+
+
+def candidates(met: DataFrame, least: int) -> DataFrame:
+    """a, b of the pairs that meet, a row (x, y) for each bucket, in as many buckets as the smaller level of the two (or as
+    all the shingles that they must share, if these are fewer)."""
+    must = [F.floor((least * F.col(f"{side}.n") + 99) / 100).cast("int") for side in "xy"]
+    pairs = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.level", "y.level", *must)).alias("level"))
+    return pairs.where("shared >= level").select("a", "b")
 
 
 def fits(n: Column, m: Column, least: int) -> Column:
@@ -229,10 +235,10 @@ def classes(summary: DataFrame) -> DataFrame:
     return staged(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep IS NOT NULL"), "classes")
 
 
+@stepwise
 def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    prepare(spark)
     summary = summaries(docs, width)
     rows = summary.where("chunk IS NULL").select("doc_id", "n", "digest")
     common = spark.sparkContext.broadcast(commonness(summary))
@@ -242,20 +248,17 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
 
     tokens = staged(prefixes(docs, width, least, common), "prefixes")
     shared = staged(tokens.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("many")).where("x < y").select("token", "many"), "shared-tokens")
-    release(spark)
-    marked = staged(tokens.join(shared.hint("merge"), "token"), "buckets")
+    marked = staged(tokens.join(shared.hint("merge"), "token"), "marked")
     unstage(tokens, shared)
-    release(spark)
     # the level of least cost: a step for each entry of a bucket, and VERIFY for each candidate
     cost = [F.sum(F.when(F.col("extra") <= e, F.col("many") - 1).otherwise(0)) for e in range(EXTRA + 1)]
     costs = [(c + 20 * c / (e + 1)) for e, c in enumerate(cost)]
     best = F.array_min(F.array(*[F.struct(c.alias("c"), F.lit(e + 1).alias("level")) for e, c in enumerate(costs)]))["level"]
     levels = marked.groupBy("doc").agg(best.alias("level"))
     own = members.where("rep IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep").distinct()
-    base = marked.where("extra = 0").select("token", "doc", "n").join(levels, "doc").join(own, "doc")
+    base = marked.select("token", "doc", "n", "extra").join(levels, "doc").where("extra < level").join(own, "doc")
     buckets = staged(base.groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("level").alias("level")).withColumnRenamed("rep", "doc"), "buckets")
     unstage(marked)
-    release(spark)
     data = packed_texts(docs, buckets, width)
     # rows of one doc_id are one node, so the classes of their sets are linked
     twice = own.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
@@ -267,24 +270,18 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
     pivots = staged(now.groupBy("token").agg(F.min(order).alias("y")), "pivots")
     now = now.withColumn("x", F.struct("doc", "n", "level", "group"))
     across = now.join(pivots.hint("merge"), "token").where((F.col("x.group") != F.col("y.group")) & fits(F.col("x.n"), F.col("y.n"), least))
-    pairs = staged(across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min(F.least("x.level", "y.level")).alias("level")), "pairs")
-    release(spark)
-    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least, common), "links"))
-    release(spark)
+    pairs = staged(candidates(across, least), "pairs")
+    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least), "links"))
     # then all pairs across groups, in the buckets where there are several left
     labels = grouped(links)
     now = mixed_buckets(now.drop("group", "many", "x"), labels)
     few = now.where(F.col("many") <= BUCKET)
     lists = few.groupBy("token").agg(F.collect_list(F.struct("doc", "n", "level", "group")).alias("all"))  # at most BUCKET
     each = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["doc"] > F.col("x.doc")) & (y["group"] != F.col("x.group")) & fits(F.col("x.n"), y["n"], least))).alias("y"))
-    pairs = staged(each.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.min(F.least("x.level", "y.level")).alias("level")), "pairs")
-    release(spark)
-    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least, common), "links"))
-    release(spark)
+    pairs = staged(candidates(each, least), "pairs")
+    links = links.union(staged(verified(plausible(pairs, data, least), data, width, least), "links"))
     links = links.union(staged(tiled(now.where(F.col("many") > BUCKET), data, width, least), "links"))
-    release(spark)
     labels = grouped(links)
-    unstage(data)
     return resolved(members, labels)
 
 
