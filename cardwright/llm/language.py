@@ -2,9 +2,10 @@
 
 A text is lower-cased and its UTF-8 bytes cut into subwords of 2 to 4 bytes, with white space, digits and ASCII signs as
 one mark of a word's bounds. Each subword's hash picks one of BUCKETS embeddings; their average goes through a linear
-layer and a softmax. Embeddings and layer are trained by stochastic gradient descent in numpy on at most SAMPLE_ROWS
-labelled documents (as many of each language as there are, in equal shares); no more than that ever reaches the driver,
-as counts of subwords. Every fifth of them is kept for calibration: a temperature that fits the probabilities, and the
+layer and a softmax. Embeddings and layer are trained by stochastic gradient descent in numpy on a sample of labelled
+documents: of the LANGUAGES most frequent languages (others are never predicted), drawn by a hash of doc_id in equal
+shares that add up to SAMPLE_ROWS, less where a language has fewer. As shares are met on average only, at most twice
+SAMPLE_ROWS are taken; so many and no more ever reach the driver, as counts of subwords. Every fifth of them is kept for calibration: a temperature that fits the probabilities, and the
 score under which a prediction is rejected, chosen so that at most REJECTED of the right predictions are.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected; without any labelled
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import prepare, table, trim
+from cardwright.llm.common import BATCH_ROWS, small, stepwise, table, trim
 
 BUCKETS = 8192
 WIDTH = 16
 SIZES = (2, 3, 4)
 SAMPLE_ROWS = 2000
+#: Languages that are learned, the most frequent first.
+LANGUAGES = 512
 REJECTED = 0.001
 EPOCHS = 12
 UNKNOWN = "und"
@@ -120,12 +123,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+@stepwise
+def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
     """Learn from documents with a label, but for the held-out ones."""
-    prepare(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     base = base.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "") & ~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
-    found = {r.lang: r["count"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
+    found = {r.lang: r["count"] for r in base.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not found:
         return train(np.zeros((0, BUCKETS), np.float32), [])
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, sample_rows / len(found) / n))])
@@ -133,8 +136,9 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = base.where(unit < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("text", "lang").limit(2 * sample_rows)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in small(batches):
             rows = []
+            trim()
             for x, lang in zip(counts(list(b["text"])), b["lang"]):
                 at = np.flatnonzero(x)
                 rows.append((lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
@@ -149,15 +153,16 @@ def fitted(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and rejected; extra columns of these names are replaced."""
-    spark = docs.sparkSession
-    prepare(spark)
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages, at most 512 of these
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, at most LANGUAGES of these
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         plain = [t or "" for t in texts]
         letters = np.array([any(map(str.isalpha, t)) for t in plain], bool)
-        langs, score = sent.value.predict(plain)
+        langs, score = [], np.zeros(len(plain))
+        for at in range(0, len(plain), BATCH_ROWS):
+            found, score[at : at + BATCH_ROWS] = sent.value.predict(plain[at : at + BATCH_ROWS])
+            langs += found
         trim()
         return pd.DataFrame({"lang_pred": np.where(letters, np.array(langs, object), UNKNOWN), "score": np.where(letters, score, 0.0).astype(float)})
 
