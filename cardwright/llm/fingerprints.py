@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import parts, prepare, staged, table, texts
+from cardwright.llm.common import parts, staged, stepwise, table, texts
 
 #: The filter of shared fingerprints has so many hexadecimal digits of slots, which bounds what the driver gets.
 SLOT_DIGITS = 5
@@ -70,10 +70,10 @@ def collisions(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return found.groupBy("fingerprint").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a != b").select("fingerprint")
 
 
+@stepwise
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    prepare(spark)
     base = texts(docs).select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     n = 4 * parts(spark)
     order = F.struct("doc_id", "tie")
@@ -93,9 +93,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             rows = []
             for d, tie, t, k in zip(b["doc_id"], b["tie"], b["text"], b["bucket"]):
                 d, data = None if d is None else int(d), packer.compress(t.encode("utf-8", "surrogatepass"))
-                rows.append((d, tie, k, False, data))
+                name = None if d is None else str(d)
+                rows.append((name, tie, k, False, data))
                 if (d, tie) in before:  # the first of a bucket is also what follows the one before
-                    rows.append((d, tie, before[d, tie], True, data))
+                    rows.append((name, tie, before[d, tie], True, data))
             yield pd.DataFrame(rows, columns=["doc_id", "tie", "bucket", "guest", "data"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +120,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 held = None if guest and (held is None or held[4] == k) else now
             yield pd.DataFrame(out, columns=columns)
 
-    packed = base.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(pack, "doc_id long, tie long, bucket int, guest boolean, data binary")
+    packed = base.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(pack, "doc_id string, tie long, bucket int, guest boolean, data binary").withColumn("doc_id", F.col("doc_id").cast("long"))
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
     dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "bucket", "guest", "data")
     marks = staged(dealt.mapInPandas(compare, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")

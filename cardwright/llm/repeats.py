@@ -36,8 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import parts, prepare, staged, table, texts, trim
-from cardwright.session import release
+from cardwright.llm.common import named_texts, parts, staged, stepwise, table, trim
 
 WIDTH = 100
 GRAM = 32
@@ -71,7 +70,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield close()
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(pack, "block long, data binary")
+    return named_texts(docs).mapInPandas(pack, "block long, data binary")
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -348,19 +347,17 @@ def finish(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=columns)
 
 
+@stepwise
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     blocks = staged(blocks_of(docs), "blocks")
     buckets = max(parts(spark), blocks.count() // 16)
     first = first_pass(blocks, buckets)
     notes = staged(first.groupBy("bucket").applyInPandas(judge_stretches, "block long, kind int, data binary"), "notes")
-    release(spark)
     windows = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(third_pass(buckets), RECORDS)
     late = staged(windows.groupBy("bucket").applyInPandas(judge_windows, "block long, kind int, data binary"), "late")
-    release(spark)
     done = blocks.groupBy("block").cogroup(notes.unionByName(late).groupBy("block")).applyInPandas(finish, RESULT.replace("doc_id long", "doc_id string"))
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 

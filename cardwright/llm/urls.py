@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton finds the vocabulary's terms in the lower-cased URL; a hit counts where no letter or digit
 (a-z, 0-9) stands beside it. The weights of the distinct terms are added; a strict term has the whole limit, a soft one
-a part of it, so one strict or several distinct soft terms reject.
+a part of it, so one strict or several distinct soft terms reject. The vocabulary below is a small default; a table of
+(term, weight) takes its place.
 
 Defined results: a null or empty URL has no host, path, rule or term and is allowed. Repeated rows are judged one by one.
 """
@@ -17,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import prepare, table
+from cardwright.llm.common import table
 
 LIMIT = 2
+#: Rows that a vocabulary table may have: it goes to every worker.
+TERMS = 200_000
 #: term -> weight
 STRICT = ("porn", "xxx", "casino", "viagra", "escort", "warez", "phishing", "malware")
 SOFT = ("cheap", "pills", "spam", "farm", "bonus", "bet", "poker", "loan", "dating", "adult", "sexy", "replica", "crack", "torrent", "jackpot")
@@ -43,7 +46,9 @@ def automaton(terms: tuple[str, ...]) -> ahocorasick.Automaton:
 def terms_in(url: str, terms: tuple[str, ...]) -> set[str]:
     """The distinct terms that stand alone in the URL."""
     text = url.translate(FOLD)
-    found = set()
+    found: set[str] = set()
+    if not terms:
+        return found
     for end, term in automaton(terms).iter(text):
         start = end - len(term) + 1
         if (start == 0 or text[start - 1] not in WORD) and (end + 1 == len(text) or text[end + 1] not in WORD):
@@ -66,9 +71,24 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]],
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: dict[str, int] = VOCABULARY, limit: int = LIMIT) -> DataFrame:
-    """page_id, host, path, rule, n_strict, n_soft (distinct terms), weight, verdict."""
-    prepare(pages.sparkSession)
+def vocabulary_of(weighted: DataFrame, most: int = TERMS) -> dict[str, int]:
+    """Weights by lower-case term, from a table of at most so many rows (more raise an error); of a term's weights the largest."""
+    rows = weighted.select(F.col("term").cast("string"), F.col("weight").cast("long")).where("term <> '' AND weight IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} rows")
+    out: dict[str, int] = {}
+    for r in rows:
+        term = r.term.translate(FOLD)
+        out[term] = max(r.weight, out.get(term, r.weight))
+    return out
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: dict[str, int] | DataFrame = VOCABULARY, limit: int = LIMIT) -> DataFrame:
+    """page_id, host, path, rule, n_strict, n_soft (distinct terms), weight, verdict.
+
+    vocabulary: weights by term, or a table (term, weight) as vocabulary_of() reads it.
+    """
+    vocabulary = vocabulary_of(vocabulary) if isinstance(vocabulary, DataFrame) else vocabulary
     terms = tuple(vocabulary)
 
     @F.pandas_udf("n_strict long, n_soft long, weight long")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import hot_join, new_folder, parts, prepare, staged, table
+from cardwright.llm.common import hot_join, new_folder, parts, staged, stepwise, table
 from cardwright.llm.storage import Reader, opened
 
 #: Payloads of fewer bytes are never revisits.
@@ -234,14 +234,15 @@ def read_records(locations: DataFrame) -> DataFrame:
     return locations.repartitionByRange(parts(spark), "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
 
 
+@stepwise
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write every row's record, index the archives, and read each row's record back through the index."""
-    prepare(pages.sparkSession)
     captures = staged(write_archives(pages), "captures")
     index = CaptureIndex.build(captures)
     key = F.pandas_udf(lambda s: s.map(url_key), "string")
     ids = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID).cast("long"))
-    return read_records(index.find(pages.select(key(F.col("url").cast("string")).alias("key"), ids.alias("pid"))))
+    found = index.find(pages.select(key(F.col("url").cast("string")).alias("key"), ids.alias("pid")))
+    return read_records(staged(found, "locations"))  # dealing by ranges reads its input twice
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
