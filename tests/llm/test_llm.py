@@ -15,6 +15,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -185,6 +186,133 @@ def test_jaccard(request, which, width, least):
     assert got == sorted((d, len(s), find(d)) for d, s in every)
 
 
+WIDE = 2**53 + 1
+
+
+def test_ids_beside_nulls(spark):
+    """A doc_id that a float can't hold, a null one and repeated ones, in one batch, through every operator."""
+    text = "Write to a.b@c.org now. password = hunter22 " + PASSAGE
+    df = spark.createDataFrame([(WIDE, text, "en"), (None, text, "en"), (WIDE, text, "en"), (5, "", "en")], "doc_id long, text string, lang string").coalesce(1)
+    items = spark.createDataFrame([(WIDE, PASSAGE), (None, PASSAGE)], "item_id long, text string")
+    ids = lambda out, c="doc_id": sorted((r[c] for r in out.select(c).collect()), key=str)
+    want = sorted([WIDE, WIDE, 5, None], key=str)
+    assert ids(pii.report(df)) == ids(repeats.cut_repeats(df)) == ids(jaccard.linked(df)) == ids(secrets.scan_documents(df)) == want
+    assert ids(fingerprints.fingerprints(df)) == ids(language.identify(df, language.fitted(df))) == ids(packing.pack(df)) == want
+    assert {r.component_id for r in jaccard.linked(df).where(f"doc_id = {WIDE}").collect()} == {WIDE}
+    assert ids(secrets.secret_spans(df)) == sorted([WIDE, WIDE, None], key=str)
+    found = decontamination.contaminated(df, items)
+    assert sorted(found.select("doc_id", "item_id").collect(), key=str) == sorted([(d, i) for d in (WIDE, WIDE, None) for i in (WIDE, None)], key=str)
+    pages = df.selectExpr("doc_id AS page_id", "'http://a.org/x' AS url", "text AS html")
+    assert ids(warc.round_trip(pages), "page_id") == ids(urls.judge(pages), "page_id") == want
+
+
+def test_vocabulary_tables(spark):
+    words = spark.createDataFrame([("Alpha", 2), ("beta", 1), ("gamma", 1), ("beta", 0), (None, 3), ("", 3)], "term string, weight int")
+    pages = spark.createDataFrame([(1, "http://b.net/ALPHA"), (2, "http://b.net/beta"), (3, "http://b.net/beta-gamma"), (4, "http://b.net/alphabet")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, vocabulary=words).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    assert {r.verdict for r in urls.judge(pages, vocabulary=words.limit(0)).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        urls.vocabulary_of(words, most=3)
+
+
+def account(country: str, body: str) -> str:
+    number = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{body}"
+
+
+def planted(rng: random.Random) -> list[tuple[str, str, bool]]:
+    """text, span, and whether it is personal data, of the added kinds."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    out = []
+    for _ in range(40):
+        phone, bad = f"({rng.randint(2, 9)}{d(2)}) {rng.randint(2, 9)}{d(2)}-{d(4)}", f"{rng.choice('01')}{d(2)}.000 {rng.choice(['0000', '1111'])}"
+        out += [(f"{rng.choice(['call', 'phone', 'tel', 'ring me on'])} {phone}", phone, True), (f"{rng.choice(['order', 'invoice', 'part', 'see'])} {bad}", bad, False)]
+        name = rng.choice(["anna", "paul", "maria.k", "john_d"])
+        mail, odd = f"{name} (at) example{d(1)} (dot) {rng.choice(['com', 'org', 'de'])}", f"{d(2)} (at) x{d(2)} [dot] {rng.choice(['zzq', 'qxk'])}"
+        out += [(f"{rng.choice(['write', 'mail', 'contact'])} {mail}", mail, True), (f"{rng.choice(['version', 'build', 'item'])} {odd}", odd, False)]
+        ssn, serial = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", f"{rng.choice(['000', '666', '999'])}-{rng.choice(['00', '11'])}-{rng.choice(['0000', '1111'])}"
+        out += [(f"{rng.choice(['ssn', 'social', 'his number is'])} {ssn}", ssn, True), (f"{rng.choice(['part', 'serial', 'model'])} {serial}", serial, False)]
+        bank, code = account(rng.choice(["DE", "FR", "GB"]), d(16)), f"{rng.choice(['QX', 'ZZ', 'XJ'])}{d(2)}{d(8)}"
+        out += [(f"{rng.choice(['iban', 'account', 'konto'])} {bank}", bank, True), (f"{rng.choice(['order', 'item', 'serial'])} {code}", code, False)]
+        person, sign = f"{rng.choice(['Mr', 'Dr', 'Frau'])} {rng.choice(['Anna', 'Paul', 'Maria', 'John'])} {rng.choice(['Weber', 'Smith', 'Moreau'])}", f"Dr {rng.choice(['Qz', 'Xk', 'Jw'])}"
+        out += [(f"{rng.choice(['from', 'by', 'name'])} {person}", person, True), (f"{rng.choice(['model', 'version', 'no'])} {sign}", sign, False)]
+    return out
+
+
+def test_added_kinds_against_planted_spans(spark):
+    """Learned on one half of the planted spans, judged on the other."""
+    cases = planted(random.Random(3))
+    text = lambda i: f"Some words of a letter, then {cases[i][0]} , and some more."
+    df = spark.createDataFrame([(i, text(i)) for i in range(len(cases))], "doc_id long, text string")
+    half = pii.candidates(df.where("doc_id < 200"), "doc_id")
+    model = pii.fitted(half)
+    held = pii.candidates(df.where("doc_id >= 200"), "doc_id").select("doc_id", pii.listed(pii.kept(F.col("spans"), model)).alias("spans"))
+    right = found = wanted = 0
+    for r in held.collect():
+        _, span, true = cases[r.doc_id]
+        at = text(r.doc_id).index(span)
+        hit = any(x.endswith(f":{at}:{at + len(span)}") for x in r.spans.split(",")) or bool(r.spans)
+        found, wanted, right = found + hit, wanted + true, right + (hit and true)
+    assert right >= 0.9 * found and right >= 0.9 * wanted, (right, found, wanted)
+    for kind in pii.ADDED:  # what the labelers were found to do: true candidates get more votes for, false ones more against
+        assert 0.2 < model.prior[kind] < 0.8, model.prior
+        assert any(abs(t[1] - f[1]) > 0.3 for t, f in model.rates[kind].values()), kind
+
+
+def test_checksums_and_added_secrets(spark):
+    body = "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0"
+    good, bad = f"ghp_{body}{secrets.checksum(body)}", f"ghp_{body}{'A' * 6}"
+    assert len(good) == 40 and zlib.crc32(body.encode()) == sum(secrets.BASE62.index(c) * 62**i for i, c in enumerate(reversed(secrets.checksum(body))))
+    texts = {1: f"key {good} end", 2: f"key {bad} end", 3: "npm_" + good[4:], 4: good + "x", 5: "-----BEGIN RSA PRIVATE KEY-----", 6: f"token={good}", 7: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {1: "forge:4:44", 2: "", 3: "registry:0:40", 4: "", 5: "pem:0:31", 6: "assign:0:46,forge:6:46", 7: ""}
+    assert {r.doc_id: r.spans for r in secrets.scan_documents(df).collect()} == want
+
+
+def distance(a: bytes, b: bytes, anywhere: bool) -> int:
+    """Edits that turn a into b, or into any stretch of b."""
+    row = [0] * (len(b) + 1) if anywhere else list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, x in enumerate(b):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return min(row) if anywhere else row[-1]
+
+
+def test_passages_against_edit_distance():
+    rng = random.Random(11)
+    for trial in range(60):
+        letters = "abcdefgh " if trial % 2 else "abcdefghijklmnopqrstuvwxyz     "
+        items = [" ".join("".join(rng.choices(letters, k=rng.randint(5, 90))).split()).encode() or b"x" for _ in range(3)]
+        bench, docs = decontamination.Benchmark(["1", None, "3"], items), []
+        for _ in range(5):
+            edited = bytearray(rng.choice(items))
+            for _ in range(rng.randint(0, max(1, len(edited) // 8))):
+                at = rng.randrange(len(edited) + 1)
+                edited[at : at + rng.randint(0, 1)] = rng.choice([b"", b"a", b"z"])
+            docs.append("".join(rng.choices(letters, k=rng.randint(0, 50))).encode() + bytes(edited) + "".join(rng.choices(letters, k=rng.randint(0, 50))).encode())
+        got = {}
+        for d, i, s, e, n in bench.hits(docs):
+            assert distance(items[i], docs[d][s:e], False) == n
+            got[d, i] = min(n, got.get((d, i), n))
+        for d, doc in enumerate(docs):
+            for i, item in enumerate(items):
+                least = (0 if item in doc else None) if len(item) < decontamination.Q else distance(item, doc, True)
+                assert got.get((d, i)) == (least if least is not None and least <= bench.k[i] else None)
+
+
+def test_every_passage_is_reported(spark):
+    """An item that stands twice in a text, items over several blocks of the benchmark, and a null item_id."""
+    other = "she sells sea shells by the sea shore and the shells that she sells are sea shells for sure"
+    df = spark.createDataFrame([(1, f"{PASSAGE} and again {PASSAGE} {other}"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, PASSAGE), (None, other), (9, "")], "item_id long, text string")
+    got = sorted(map(tuple, decontamination.contaminated(df, items, block_bytes=64).collect()), key=str)
+    n = len(PASSAGE.strip())
+    assert got == sorted([(1, 7, 0, n, 0), (1, 7, n + 11, 2 * n + 11, 0), (1, None, 2 * n + 12, 2 * n + 12 + len(other), 0)], key=str)
+    assert [r.doc_id for r in decontamination.flagged(df, items, block_bytes=64).where("leaked").collect()] == [1]
+
+
 def test_benchmark_passages(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [r.text for r in items.collect() if r.text and len(r.text) > 80][:5]
