@@ -11,8 +11,10 @@ Equal sets are one class from the start. What is asked for is groups, so of the
 a prefix shingle) not all pairs are made: first one member, the pivot, is compared with all others. Most buckets then
 hold one group and are done. In the others all pairs across groups are tested: listed where the bucket is small, and in
 tiles of bounded size by a product of matrices where it is large; there the product costs less than the filter would.
-No link between two groups is lost: a pair that shares enough prefix shingles either meets in a large bucket, and is
-tested there whatever its level, or in so many small ones, and is counted; or it is in one group, or out of the size bound.
+No link between two groups is lost. Similar sets share a shingle of both their plain prefixes (those of level 1). Where its
+bucket is large, they meet in a tile; tiles hold the members by their plain prefixes only. Else they meet in a small
+bucket, and in as many small ones as their level asks for, less those that could be large: so many as the document with
+fewer shingles in large buckets has there. Other pairs are in one group, or out of the size bound.
 
 Defined results: null texts and texts without a word have the empty set and link with nothing; rows that repeat a doc_id
 are one node, linked to all that any of them is; a null doc_id has a null component. Texts are read whole.
@@ -219,9 +221,10 @@ def verified(pairs: DataFrame, data: DataFrame, width: int, least: int) -> DataF
 
 def candidates(met: DataFrame, least: int) -> DataFrame:
     """a, b of the pairs that meet, a row (x, y) for each bucket, in as many buckets as the smaller level of the two (or as
-    all the shingles that they must share, if these are fewer)."""
+    all the shingles that they must share, if these are fewer), less the large buckets that either has (lost)."""
     must = [F.floor((least * F.col(f"{side}.n") + 99) / 100).cast("int") for side in "xy"]
-    pairs = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.level", "y.level", *must)).alias("level"))
+    level = F.least("x.level", "y.level", *must) - F.least("x.lost", "y.lost")
+    pairs = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"), F.min(level).alias("level"))
     return pairs.where("shared >= level").select("a", "b")
 
 
@@ -257,7 +260,7 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
     levels = marked.groupBy("doc").agg(best.alias("level"))
     own = members.where("rep IS NOT NULL").select(F.col("doc_id").alias("doc"), "rep").distinct()
     base = marked.select("token", "doc", "n", "extra").join(levels, "doc").where("extra < level").join(own, "doc")
-    buckets = staged(base.groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("level").alias("level")).withColumnRenamed("rep", "doc"), "buckets")
+    buckets = staged(base.groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("level").alias("level"), F.min("extra").alias("extra")).withColumnRenamed("rep", "doc"), "buckets")
     unstage(marked)
     data = packed_texts(docs, buckets, width)
     # rows of one doc_id are one node, so the classes of their sets are linked
@@ -266,21 +269,24 @@ def linked(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame
     links = twice
     # first each bucket's pivot with all others: the same one for all buckets of a family that it is in
     now = mixed_buckets(buckets, grouped(links))
-    order = F.struct(F.xxhash64("doc").alias("o"), "doc", "n", "level", "group")
+    member = ("doc", "n", "level", "group", "lost")
+    now = now.withColumn("lost", F.lit(0).cast("long"))
+    order = F.struct(F.xxhash64("doc").alias("o"), *member)
     pivots = staged(now.groupBy("token").agg(F.min(order).alias("y")), "pivots")
-    now = now.withColumn("x", F.struct("doc", "n", "level", "group"))
-    across = now.join(pivots.hint("merge"), "token").where((F.col("x.group") != F.col("y.group")) & fits(F.col("x.n"), F.col("y.n"), least))
+    across = now.withColumn("x", F.struct(*member)).join(pivots.hint("merge"), "token").where((F.col("x.group") != F.col("y.group")) & fits(F.col("x.n"), F.col("y.n"), least))
     pairs = staged(candidates(across, least), "pairs")
     links = links.union(staged(verified(plausible(pairs, data, least), data, width, least), "links"))
     # then all pairs across groups, in the buckets where there are several left
     labels = grouped(links)
-    now = mixed_buckets(now.drop("group", "many", "x"), labels)
-    few = now.where(F.col("many") <= BUCKET)
-    lists = few.groupBy("token").agg(F.collect_list(F.struct("doc", "n", "level", "group")).alias("all"))  # at most BUCKET
+    now = mixed_buckets(now.drop("group", "many", "lost"), labels)
+    large = now.where(F.col("many") > BUCKET)
+    lost = large.groupBy("doc").agg(F.count("*").alias("lost"))
+    few = now.where(F.col("many") <= BUCKET).join(lost, "doc", "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
+    lists = few.groupBy("token").agg(F.collect_list(F.struct(*member)).alias("all"))  # at most BUCKET
     each = lists.select(F.explode("all").alias("x"), "all").select("x", F.explode(F.filter("all", lambda y: (y["doc"] > F.col("x.doc")) & (y["group"] != F.col("x.group")) & fits(F.col("x.n"), y["n"], least))).alias("y"))
     pairs = staged(candidates(each, least), "pairs")
     links = links.union(staged(verified(plausible(pairs, data, least), data, width, least), "links"))
-    links = links.union(staged(tiled(now.where(F.col("many") > BUCKET), data, width, least), "links"))
+    links = links.union(staged(tiled(large.where("extra = 0"), data, width, least), "links"))
     labels = grouped(links)
     return resolved(members, labels)
 
