@@ -1,25 +1,27 @@
 """Exact repeats of WIDTH bytes, by a depth-limited radix sort of all suffixes.
 
 Only the first WIDTH bytes of a suffix matter: a window. Passes from the most significant digit on split the windows into
-groups; a group of one is done, and what is together after the last digit is a repeated window. No order is asked for,
-only equality, so a digit may be any function of the window:
+groups by their first bytes; a group of one is done, and what is together after the last pass is a repeated window. The
+digits are wide, so there are three of them, and a digit is ordered by its hash:
 
-1. its minimizer, the least hash of its GRAM-byte grams. Neighbouring windows share it, so a run of them (a stretch)
-   goes through this pass as one record, about one for every thirty bytes;
-2. the stretch as a whole: equal stretches hold equal windows, so where a minimizer has one kind of stretch only, its
-   windows are settled: the first stretch stays, all windows of the others are repeats;
-3. the window itself, for those left: different stretches with one minimizer, at the edges of repeated passages.
+1. the first 32 bytes. A window is out as soon as any 32 bytes in it stand nowhere else, so the grams which are looked at
+   here are those whose hash is 0 in three bits, some eight in each window; a window without any goes on;
+2. the first 64 bytes: the groups of two or more get a number, those of one are done;
+3. all WIDTH bytes, within the group that the pass before has found.
 
-Documents are kept in blocks of some MB, a row each. Every pass first looks inside a block, where only the first of equal
-stretches or windows is left, and then sends one record for each to the digit's bucket. So a passage that a third of all
-documents hold meets at most once per block. Buckets answer each block; the blocks then put the answers together.
+Documents stand in order of doc_id in blocks of some MB, a row each, so of two blocks the one with the lower number is the
+earlier. A pass looks inside each block first, where equal digits are one record; so a passage that a third of all
+documents hold is sent once by each block. Records go to buckets, packed by column and sorted, and a bucket answers each
+block with a bit, or a group's number, for each record. What shares its digits with other windows of its own block alone is
+settled there.
 
-Digits are hashes. Two stretches count as equal if they agree in all 64 bits of their minimizer's hash and of their own; two
-windows if they agree in the 64 bits of their own hash and 24 of their minimizer's. What shares a minimizer is so told apart
-by the 64 bits of its own hash.
+Digits are compared by hashes, of 43 bits in the first two passes and 48 in the last. Windows are equal if they agree in
+the 43 bits of their first 64 bytes and the other 48 of all; the bits of the first pass only spare work. No bytes are
+compared across blocks.
 
 Defined results: a null text is an empty one. The earlier of two windows is that of the smaller doc_id (null first), then,
-for rows that repeat a doc_id, that of the earlier block and row. Texts are read whole; texts under WIDTH bytes lose nothing.
+for rows that repeat a doc_id, that of the text with the smaller hash. Texts are read whole; texts under WIDTH bytes lose
+nothing. A row gets longer with the blocks and shorter with the buckets: for tens of TB give larger blocks.
 """
 
 from __future__ import annotations
@@ -30,27 +32,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.llm.common import named_texts, parts, staged, stepwise, table, trim
+from cardwright.llm.common import named_texts, numbered, parts, staged, stepwise, table, texts, trim
 
-WIDTH = 100
-GRAM = 32
-BLOCK_BYTES = 1 << 19
+WIDTH, FIRST, SECOND = 100, 32, 64
+#: Of the grams, those are looked at in the first pass whose hash is 0 in these bits.
+LOOKED_AT = np.uint64(7)
+BLOCK_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RECORDS = "bucket int, block long, n int, data binary"
+ANSWERS = "block long, step int, bucket int, data binary"
+#: Places of hashed bytes that are worked on at a time: they fit in a core's cache.
+CHUNK = 1 << 14
+#: A digit is a hash without so many low bits, where a sort keeps the place; so larger blocks sort more slowly.
+SPARE = 21
 KEYS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+MASK = np.uint64((1 << 48) - 1)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, data: some MB of documents in each row."""
+    """block, data: some MB of documents in each row, in order of doc_id."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, part, k, ids, data, size = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId(), 0, [], [], 0
+        packer, part, k, ids, data, size = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pd.DataFrame:
             nonlocal k, ids, data, size
@@ -70,297 +79,361 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield close()
 
-    return named_texts(docs).mapInPandas(pack, "block long, data binary")
-
-
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Ids, sizes, and all bytes of a block."""
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 2 * n, 8)
-    return head[:n], head[n:], raw[8 * (2 * n + 1) :]
-
-
-def slide(best: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
-    """The least or greatest of each n neighbours, by doubling."""
-    reach = 1
-    while 2 * reach <= n:
-        x = best(x[:-reach], x[reach:])
-        reach *= 2
-    return best(x[: len(x) - (n - reach)], x[n - reach :]) if n > reach else x
-
-
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    a = raw.astype(np.uint64)
-    a = a[:-1] | a[1:] << np.uint64(8)
-    a = a[:-2] | a[2:] << np.uint64(16)
-    a = a[:-4] | a[4:] << np.uint64(32)
-    a *= KEYS[0]
-    a ^= a >> np.uint64(29)
-    n = len(raw) - GRAM + 1
-    h = a[:n] * KEYS[1]
-    for k in (1, 2, 3):
-        h ^= h >> np.uint64(31)
-        h += a[8 * k : 8 * k + n]
-        h *= KEYS[k]
-    return h ^ h >> np.uint64(32)
-
-
-def periodic(h: np.ndarray, least: np.ndarray, digit: np.ndarray, begin: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Stretches that hold their minimizer more than once. Only in these can two windows be equal."""
-    if not len(digit):
-        return np.zeros(0, bool)
-    grams = WIDTH - GRAM + 1
-    padded = np.concatenate([np.zeros(grams - 1, np.uint64), least, np.zeros(grams - 1, np.uint64)])
-    at = np.flatnonzero(h == slide(np.maximum, padded, grams))  # where a gram is the least of some window
-    names, rank = np.unique(h[at], return_inverse=True)
-    key = np.sort(rank.astype(np.int64) << 40 | at)
-    own = np.searchsorted(names, digit).astype(np.int64) << 40
-    return np.searchsorted(key, own | begin + many + grams - 2, side="right") - np.searchsorted(key, own | begin) > 1
+    # rows that are equal in id and text may stand in any order, so they can be dealt to several parts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie"), F.col("_row")]
+    rows = texts(docs).withColumns({"_tie": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return named_texts(rows).mapInPandas(pack, "block long, data binary")
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """In place."""
+    h *= KEYS[0]
+    h ^= h >> np.uint64(29)
+    h *= KEYS[1]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def joined(h: np.ndarray, reach: int, key: int) -> np.ndarray:
+    """The hash of what a place's hash covers, and of what that of the place `reach` on does."""
+    return mixed(h[:-reach] * KEYS[key] + h[reach:]) if len(h) > reach else np.zeros(0, np.uint64)
+
+
+def packed(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as zstd of their bytes, all first bytes first."""
+    return zstandard.ZstdCompressor(level=-3).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def unpacked(data: bytes, n: int, width: int = 8) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=np.uint64(0))
+
+
+def sorted_with_places(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of 64 - SPARE bits in order, and where each of them stood; equal ones in order of place."""
+    if len(digits) > 1 << SPARE:
+        order = np.argsort(digits, kind="stable")
+        return digits[order], order
+    both = np.sort(digits << np.uint64(SPARE) | np.arange(len(digits), dtype=np.uint64))  # far faster than to sort the places
+    return both >> np.uint64(SPARE), (both & np.uint64((1 << SPARE) - 1)).astype(np.int64)
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def bucket_of(digits: np.ndarray, buckets: int) -> np.ndarray:
+    """By the most significant bits, so that it rises with the digit."""
+    return ((digits >> np.uint64(32 - SPARE)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
-class Stretches:
-    """The runs of windows with one minimizer in a block: digit, kind (hash of all their bytes), first window, windows, rank of the document, and whether it may hold equal windows."""
+class Block:
+    """The documents of a block, and the hashes of the 32 bytes from each place on."""
 
-    digit: np.ndarray
-    kind: np.ndarray
-    begin: np.ndarray
-    many: np.ndarray
-    rank: np.ndarray
-    twice: np.ndarray
-    ids: np.ndarray  # of the documents, by rank
-    row: np.ndarray  # of the documents, by rank
+    ids: np.ndarray
     size: np.ndarray
+    ends: np.ndarray
     whole: bytes
+    first: np.ndarray
 
     @classmethod
-    def of(cls, data: bytes) -> Stretches:
-        ids, size, whole = unpacked(data)
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        empty = np.zeros(0, np.uint64)
-        if len(whole) < WIDTH:
-            return cls(empty, empty, *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), ids[order], order, size, whole)
-        grams = gram_hashes(np.frombuffer(whole, np.uint8))
-        least = slide(np.minimum, grams, WIDTH - GRAM + 1)
-        inside = np.zeros(len(least) + 1, np.int32)
-        last = np.cumsum(size)
-        fit = size >= WIDTH
-        np.add.at(inside, (last - size)[fit], 1)
-        np.add.at(inside, (last - WIDTH + 1)[fit], -1)
-        inside = np.cumsum(inside[:-1]) > 0
-        fresh = np.ones(len(least), bool)
-        fresh[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
-        begin = np.flatnonzero(inside & fresh)
-        stop = np.flatnonzero(np.append(fresh[1:] | ~inside[1:], True) & inside) + 1
-        kind = np.fromiter(map(xxhash.xxh3_64_intdigest, (whole[i:j] for i, j in zip(begin.tolist(), (stop + WIDTH - 1).tolist()))), np.uint64, len(begin))
-        twice = periodic(grams, least, least[begin], begin, stop - begin)
-        return cls(least[begin], kind, begin, stop - begin, rank[np.searchsorted(last, begin, side="right")], twice, ids[order], order, size, whole)
-
-
-def firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys, most significant first, and where in it the last key's groups of equal others begin."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys[:-1]:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, new
-
-
-def sent(block: int, buckets: int, key: np.ndarray, more: np.ndarray, ids: np.ndarray, mixed: np.ndarray, width: int = 8) -> pd.DataFrame:
-    """A row for each bucket that gets any of the records: the key, width bytes of the other digit, and packed ids and marks."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((ids, bucket))
-    names, at = np.unique(bucket[order], return_index=True)
-    packer, rows = zstandard.ZstdCompressor(level=3), []
-    for name, pick in zip(names.tolist(), np.split(order, at[1:])):
-        rest = packer.compress(np.diff(ids[pick], prepend=np.int64(0)).tobytes() + np.packbits(mixed[pick]).tobytes())
-        rows.append((name, block, len(pick), key[pick].tobytes() + more[pick].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), rest))
-    return pd.DataFrame(rows, columns=["bucket", "block", "n", "digits", "rest"])
-
-
-def gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """key, more, id, mixed, block of all records that a bucket has got."""
-    out = []
-    for block, n, digits, rest in zip(rows["block"], rows["n"], rows["digits"], rows["rest"]):
-        raw = zstandard.decompress(rest)
-        ids = np.cumsum(np.frombuffer(raw, np.int64, n))
-        mixed = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool)
-        width = len(digits) // n - 8
-        more = np.frombuffer(digits, "<u8", n, 8 * n) if width == 8 else np.pad(np.frombuffer(digits, np.uint8, width * n, 8 * n).reshape(-1, width), ((0, 0), (0, 4 - width))).view("<u4").ravel()
-        out.append((np.frombuffer(digits, "<u8", n), more, ids, mixed, np.full(n, block, np.int64)))
-    return tuple(map(np.concatenate, zip(*out)))
-
-
-RECORDS = "bucket int, block long, n int, digits binary, rest binary"
-ANSWER = np.dtype([("digit", "<u8"), ("code", "u1")])
-REPEAT, MIXED = 1, 2
-#: The bits of its minimizer's hash that are sent with a window's own hash, and their bytes.
-HALF, HALF_BYTES = np.uint64(0xFFFFFF), 3
-
-
-def local(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """Which stretches are the block's first of their kind, and which of these have a minimizer with another kind, or hold it twice."""
-    order, new = firsts(s.digit, s.kind, s.begin + (s.rank << 40))
-    first = np.zeros(len(order), bool)
-    first[order[new]] = True
-    digit = s.digit[order[new]]
-    again = np.zeros(len(digit), bool)
-    if len(digit):
-        same = digit[1:] == digit[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-    mixed = s.twice.copy()
-    mixed[order[new][again]] = True
-    return first, mixed
-
-
-def first_pass(blocks: DataFrame, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for block, data in zip(b["block"], b["data"]):
-                trim()
-                s = Stretches.of(data)
-                first, mixed = local(s)
-                pick = np.flatnonzero(first)
-                _, at = np.unique(s.digit[pick], return_index=True)  # of several kinds, one stands for all
-                pick = pick[at]
-                yield sent(block, buckets, s.digit[pick], s.kind[pick], s.ids[s.rank[pick]], mixed[pick])
+    def of(cls, data: bytes) -> Block:
+        raw = zstandard.decompress(data)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        head = np.frombuffer(raw, np.int64, 2 * n, 8)
+        ids, size, whole = head[:n], head[n:], raw[8 * (2 * n + 1) :]
+        text, first = np.frombuffer(whole, np.uint8), np.empty(max(0, len(whole) - FIRST + 1), np.uint64)
+        for at in range(0, len(first), CHUNK):
+            a = text[at : at + CHUNK + FIRST - 1].astype(np.uint64)
+            a = a[:-1] | a[1:] << np.uint64(8)
+            a = a[:-2] | a[2:] << np.uint64(16)
+            a = a[:-4] | a[4:] << np.uint64(32)
+            first[at : at + CHUNK] = joined(joined(mixed(a), 8, 1), 16, 2)
+        return cls(ids, size, np.cumsum(size), whole, first)
+
+    def inside(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Those of the places (in order) from which a document has n bytes more."""
+        left = self.ends[np.searchsorted(self.ends, at, side="right")] - at if len(at) else at
+        return at[left >= n]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and digits that the first pass looks at."""
+        at = self.inside(np.flatnonzero(self.first & LOOKED_AT == 0), FIRST)
+        return at, self.first[at] >> np.uint64(SPARE)
+
+    def second(self, place: np.ndarray) -> np.ndarray:
+        """The hashes of 64 bytes."""
+        return mixed(self.first[place] * KEYS[3] + self.first[place + FIRST])
+
+    def windows(self, buckets: int, notes: Notes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows that the first pass leaves, and the hashes of their first 64 bytes."""
+        at, digit = self.grams()
+        sent = Sent.of(digit, buckets)
+        alone = at[~(notes.bits(1, sent) | (sent.many > 1))[sent.index]]
+        gone = np.zeros(len(self.whole) + 1, np.int32)
+        np.add.at(gone, np.maximum(alone - (WIDTH - FIRST), 0), np.int32(1))
+        np.add.at(gone, alone + 1, np.int32(-1))
+        place = self.inside(np.flatnonzero(np.cumsum(gone[:-1], dtype=np.int32) == 0), WIDTH)
+        return place, self.second(place)
+
+    def whole_digits(self, place: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """48 bits of the whole windows."""
+        return mixed(second * KEYS[2] + self.second(place + (WIDTH - SECOND))) & MASK
+
+
+def cuts_of(bucket: np.ndarray) -> tuple[list[int], list[int]]:
+    """The buckets, and where each begins and the last ends."""
+    at = np.flatnonzero(heads(bucket)) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[at].tolist(), [*at.tolist(), len(bucket)]
+
+
+@dataclass
+class Sent:
+    """Distinct digits in order and so by bucket, how often each stands in the block, and which one each place has."""
+
+    digit: np.ndarray
+    bucket: np.ndarray
+    many: np.ndarray
+    index: np.ndarray
+
+    @classmethod
+    def of(cls, digits: np.ndarray, buckets: int) -> Sent:
+        rising, order = sorted_with_places(digits)
+        new = heads(rising)
+        at = np.flatnonzero(new)
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(new) - 1
+        digit = rising[at]
+        return cls(digit, bucket_of(digit, buckets), np.diff(np.append(at, len(order))), index)
+
+    def cuts(self) -> tuple[list[int], list[int]]:
+        return cuts_of(self.bucket)
+
+    def rows(self, block: int) -> pd.DataFrame:
+        names, at = self.cuts()
+        return pd.DataFrame([(b, block, j - i, packed(steps(self.digit[i:j]))) for b, i, j in zip(names, at, at[1:])], columns=["bucket", "block", "n", "data"])
+
+
+class Notes:
+    """What the buckets have answered a block."""
 
-    return blocks.mapInPandas(run, RECORDS)
+    def __init__(self, rows: pd.DataFrame):
+        self.data = {(s, b): x for s, b, x in zip(rows["step"], rows["bucket"], rows["data"])}
 
+    def bits(self, step: int, sent: Sent) -> np.ndarray:
+        names, at = sent.cuts()
+        each = [np.unpackbits(np.frombuffer(zstandard.decompress(self.data[step, b]), np.uint8), count=j - i).astype(bool) for b, i, j in zip(names, at, at[1:])]
+        return np.concatenate(each) if each else np.zeros(0, bool)
 
-def replies(block: np.ndarray, answer: np.ndarray, kind: int) -> pd.DataFrame:
-    """A row for each block that gets any of the answers."""
-    order = np.argsort(block, kind="stable")
-    names, at = np.unique(block[order], return_index=True)
-    return pd.DataFrame([(int(b), kind, x.tobytes()) for b, x in zip(names, np.split(answer[order], at[1:]))], columns=["block", "kind", "data"])
+    def numbers(self, step: int, sent: Sent) -> np.ndarray:
+        """The number of each digit's group, from 1; 0 where no other block has it."""
+        names, at = sent.cuts()
+        out = np.zeros(len(sent.digit), np.uint64)
+        for b, i, j in zip(names, at, at[1:]):
+            raw = self.data[step, b]
+            n = (j - i + 7) // 8
+            shared = np.unpackbits(np.frombuffer(raw, np.uint8, n), count=j - i).astype(bool)
+            if shared.any():
+                out[i:j][shared] = np.cumsum(unpacked(raw[n:], int(shared.sum()), 4))
+        return out
 
 
-def judge_stretches(rows: pd.DataFrame) -> pd.DataFrame:
-    """What each block is told of its minimizers: MIXED if there are several kinds, REPEAT if its only kind stands earlier elsewhere."""
+def bits_of(marks: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(marks).tobytes())
+
+
+def gathered(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.cumsum(unpacked(x, n)) for x, n in zip(rows["data"], rows["n"])]
+
+
+def shared_of(each: list[np.ndarray]) -> np.ndarray:
+    """The digits that several blocks have, in order."""
+    every = np.sort(np.concatenate(each))
+    return np.unique(every[1:][every[1:] == every[:-1]])
+
+
+def among(some: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each digit stands in some, which are in order, and whether it does."""
+    at = np.searchsorted(some, digits)
+    return at, some[np.minimum(at, len(some) - 1)] == digits if len(some) else np.zeros(len(digits), bool)
+
+
+def first_judged(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bit for each digit: does another block have it?"""
     trim()
-    digit, kind, ids, own, block = gathered(rows)
-    order = np.lexsort((block, ids, digit))
-    lead = np.zeros(len(order), bool)
-    lead[:1] = True
-    digit, kind, own = digit[order], kind[order], own[order]
-    lead[1:] = digit[1:] != digit[:-1]
-    group = np.cumsum(lead) - 1
-    head = np.flatnonzero(lead)
-    other = (kind != kind[head[group]]) | own
-    mixed = np.bincount(group, other, len(head))[group] > 0
-    alone = np.bincount(group, minlength=len(head))[group] == 1
-    code = np.where(mixed, MIXED, np.where(lead, 0, REPEAT))
-    told = (code > 0) & ~(alone & own)  # a block knows itself of its own kinds
-    answer = np.zeros(int(told.sum()), ANSWER)
-    answer["digit"], answer["code"] = digit[told], code[told]
-    return replies(block[order][told], answer, 1)
-
-
-def judge_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """The windows of each block that stand earlier in another."""
+    each = gathered(rows)
+    some = shared_of(each)
+    return pd.DataFrame([(block, 1, bucket, bits_of(among(some, x)[1])) for block, bucket, x in zip(rows["block"], rows["bucket"], each)], columns=["block", "step", "bucket", "data"])
+
+
+def second_judged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The numbers of the groups that several blocks have."""
     trim()
-    window, digit, ids, _, block = gathered(rows)
-    order = np.lexsort((block, ids, digit, window))
-    w, d = window[order], digit[order]
-    late = np.zeros(len(order), bool)
-    late[1:] = (w[1:] == w[:-1]) & (d[1:] == d[:-1])
-    return replies(block[order][late], name_of(w[late], d[late]), 2)
+    each = gathered(rows)
+    some, out = shared_of(each), []
+    for block, bucket, x in zip(rows["block"], rows["bucket"], each):
+        at, hit = among(some, x)
+        out.append((block, 2, bucket, np.packbits(hit).tobytes() + (packed(steps(at[hit].astype(np.uint64) + np.uint64(1)), 4) if hit.any() else b"")))
+    return pd.DataFrame(out, columns=["block", "step", "bucket", "data"])
 
 
-def name_of(window: np.ndarray, digit: np.ndarray) -> np.ndarray:
-    """One number for a window among those of its block."""
-    return window ^ digit.astype(np.uint64) * KEYS[0]
+def last_judged(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bit for each window: does an earlier block have it?"""
+    trim()
+    rows = rows.sort_values("block")
+    halves = [(unpacked(x[8 : 8 + k], n, 4), unpacked(x[8 + k :], n, 6)) for x, n in zip(rows["data"], rows["n"]) for k in [int.from_bytes(x[:8], "little")]]
+    group, digit = np.concatenate([np.cumsum(g) for g, _ in halves]), np.concatenate([d for _, d in halves])
+    # groups are numbers up to those of the bucket's records, so what they and the digits fill of 64 bits is sorted at once
+    order = np.argsort(group << np.uint64(48) | digit, kind="stable") if group.max(initial=0) < 1 << 16 else np.lexsort((digit, group))
+    g, d = group[order], digit[order]
+    late = np.zeros(len(order), bool)
+    late[order[1:]] = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
+    out, at = [], 0
+    for block, bucket, n in zip(rows["block"], rows["bucket"], rows["n"]):
+        out.append((block, 3, bucket, bits_of(late[at : at + n])))
+        at += n
+    return pd.DataFrame(out, columns=["block", "step", "bucket", "data"])
+
 
+@dataclass
+class Windows:
+    """The windows of a block that share their first 64 bytes with others; and the distinct ones that other blocks may have."""
+
+    place: np.ndarray
+    again: np.ndarray  # not the block's first of its kind
+    kind: np.ndarray  # which of the distinct ones
+    bucket: np.ndarray  # of the distinct ones which other blocks may have, as are the next three
+    group: np.ndarray
+    digit: np.ndarray
+    name: np.ndarray
 
-def told(notes: pd.DataFrame, kind: int, dtype) -> np.ndarray:
-    each = [np.frombuffer(x, dtype) for x in notes["data"][notes["kind"] == kind]]
-    return np.concatenate(each) if each else np.zeros(0, dtype)
+    @classmethod
+    def of(cls, block: Block, buckets: int, notes: Notes) -> Windows:
+        place, second = block.windows(buckets, notes)
+        sent = Sent.of(second >> np.uint64(SPARE), buckets)
+        group = notes.numbers(2, sent)
+        stay = ((group > 0) | (sent.many > 1))[sent.index]
+        place, which, second = place[stay], sent.index[stay], second[stay]
+        digit = block.whole_digits(place, second)
+        # equal windows are brought together by a hash of both; should others come between them, the slow way is taken
+        both, order = sorted_with_places(mixed(which.astype(np.uint64) * KEYS[3] + digit) >> np.uint64(SPARE))
+        new = heads(which[order]) | heads(digit[order])
+        if (new & ~heads(both)).any():
+            order = np.lexsort((digit, which))
+            new = heads(which[order]) | heads(digit[order])
+        lead, kind = order[new], np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        again = np.ones(len(order), bool)
+        again[lead] = False
+        name = np.flatnonzero(group[which[lead]] > 0)
+        lead = lead[name]
+        _, by_group = sorted_with_places(which[lead].astype(np.uint64))  # and so by bucket
+        lead, name = lead[by_group], name[by_group]
+        return cls(place, again, kind, sent.bucket[which[lead]], group[which[lead]], digit[lead], name)
+
+    def cuts(self) -> tuple[list[int], list[int]]:
+        return cuts_of(self.bucket)
+
+    def rows(self, block: int) -> pd.DataFrame:
+        names, at = self.cuts()
+        out = []
+        for b, i, j in zip(names, at, at[1:]):
+            groups = packed(steps(self.group[i:j]), 4)
+            out.append((b, block, j - i, len(groups).to_bytes(8, "little") + groups + packed(self.digit[i:j], 6)))
+        return pd.DataFrame(out, columns=["bucket", "block", "n", "data"])
+
+
+def first_pass(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, data in zip(b["block"], b["data"]):
+                trim()
+                yield Sent.of(Block.of(data).grams()[1], buckets).rows(block)
 
+    return run
 
-def settle(s: Stretches, notes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches whose windows are all repeats, and those which need the third pass."""
-    first, mixed = local(s)
-    said = told(notes, 1, ANSWER)
-    said = said[np.argsort(said["digit"])]
-    code = np.zeros(len(s.digit), np.uint8)
-    if len(said):
-        at = np.minimum(np.searchsorted(said["digit"], s.digit), len(said) - 1)
-        code = np.where(said["digit"][at] == s.digit, said["code"][at], 0)
-    open_ = first & (mixed | (code == MIXED))
-    return ~first | (first & ~open_ & (code == REPEAT)), open_
 
+def second_pass(buckets: int):
+    def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        return Sent.of(Block.of(held["data"].iloc[0]).windows(buckets, Notes(notes))[1] >> np.uint64(SPARE), buckets).rows(int(held["block"].iloc[0]))
 
-def open_windows(s: Stretches, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, hash, half the digit and rank of each window in the stretches that are open."""
-    many = s.many[open_]
-    begin = np.repeat(s.begin[open_] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    window = np.fromiter(map(xxhash.xxh3_64_intdigest, (s.whole[i : i + WIDTH] for i in begin.tolist())), np.uint64, len(begin))
-    return begin, window, np.repeat(s.digit[open_] & HALF, many), np.repeat(s.rank[open_], many)
+    return run
 
 
-def third_pass(buckets: int):
+def last_pass(buckets: int):
     def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        if not len(held):
-            return pd.DataFrame(columns=["bucket", "block", "n", "digits", "rest"])
         trim()
-        s = Stretches.of(held["data"].iloc[0])
-        begin, window, digit, rank = open_windows(s, settle(s, notes)[1])
-        order, new = firsts(window, digit, begin + (rank << 40))
-        pick = order[new]
-        return sent(int(held["block"].iloc[0]), buckets, window[pick], digit[pick], s.ids[rank[pick]], np.zeros(len(pick), bool), HALF_BYTES)
+        return Windows.of(Block.of(held["data"].iloc[0]), buckets, Notes(notes)).rows(int(held["block"].iloc[0]))
 
     return run
 
 
-def finish(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+def finish(buckets: int):
     """The documents of a block without the bytes that repeated windows cover."""
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    if not len(held):
-        return pd.DataFrame(columns=columns)
-    trim()
-    s = Stretches.of(held["data"].iloc[0])
-    repeat, open_ = settle(s, notes)
-    begin, window, digit, rank = open_windows(s, open_)
-    order, new = firsts(window, digit, begin + (rank << 40))
-    late = np.ones(len(begin), bool)
-    late[order[new]] = False
-    late |= np.isin(name_of(window, digit), told(notes, 2, np.uint64))
-    cover = np.zeros(len(s.whole) + 1, np.int32)
-    np.add.at(cover, s.begin[repeat], 1)
-    np.add.at(cover, s.begin[repeat] + s.many[repeat] + WIDTH - 1, -1)
-    np.add.at(cover, begin[late], 1)
-    np.add.at(cover, begin[late] + WIDTH, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    raw, out = np.frombuffer(s.whole, np.uint8), []
-    at = np.cumsum(s.size) - s.size
-    for k, row in enumerate(s.row.tolist()):
-        low, high = at[row], at[row] + s.size[row]
-        cut = gone[low:high]
-        spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
-        kept = raw[low:high][~cut] if spans else raw[low:high]
-        out.append((None if s.ids[k] == NULL_ID else str(s.ids[k]), high - low, int(cut.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-    return pd.DataFrame(out, columns=columns)
+
+    def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        block, said = Block.of(held["data"].iloc[0]), Notes(notes)
+        w = Windows.of(block, buckets, said)
+        earlier = np.zeros(int(w.kind.max(initial=-1)) + 1, bool)
+        names, at = w.cuts()
+        for b, i, j in zip(names, at, at[1:]):
+            earlier[w.name[i:j]] = np.unpackbits(np.frombuffer(zstandard.decompress(said.data[3, b]), np.uint8), count=j - i).astype(bool)
+        late = w.place[w.again | earlier[w.kind]]
+        cover = np.zeros(len(block.whole) + 1, np.int32)
+        np.add.at(cover, late, np.int32(1))
+        np.add.at(cover, late + WIDTH, np.int32(-1))
+        gone, raw, out, low = np.cumsum(cover[:-1]) > 0, np.frombuffer(block.whole, np.uint8), [], 0
+        for d, n in zip(block.ids.tolist(), block.size.tolist()):
+            cut = gone[low : low + n]
+            spans = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
+            kept = raw[low : low + n][~cut].tobytes() if spans else block.whole[low : low + n]
+            out.append((None if d == NULL_ID else str(d), n, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest()))
+            low += n
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return run
 
 
 @stepwise
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    blocks = staged(blocks_of(docs), "blocks")
-    buckets = max(parts(spark), blocks.count() // 16)
-    first = first_pass(blocks, buckets)
-    notes = staged(first.groupBy("bucket").applyInPandas(judge_stretches, "block long, kind int, data binary"), "notes")
-    windows = blocks.groupBy("block").cogroup(notes.groupBy("block")).applyInPandas(third_pass(buckets), RECORDS)
-    late = staged(windows.groupBy("bucket").applyInPandas(judge_windows, "block long, kind int, data binary"), "late")
-    done = blocks.groupBy("block").cogroup(notes.unionByName(late).groupBy("block")).applyInPandas(finish, RESULT.replace("doc_id long", "doc_id string"))
-    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
+    blocks = staged(blocks_of(docs, block_bytes), "blocks")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # blocks are large
+    buckets = max(parts(spark), blocks.count() // 8)
+    with_notes = lambda notes: blocks.groupBy("block").cogroup(notes.groupBy("block"))
+    notes = staged(blocks.mapInPandas(first_pass(buckets), RECORDS).groupBy("bucket").applyInPandas(first_judged, ANSWERS), "first")
+    notes = notes.unionByName(staged(with_notes(notes).applyInPandas(second_pass(buckets), RECORDS).groupBy("bucket").applyInPandas(second_judged, ANSWERS), "second"))
+    notes = notes.unionByName(staged(with_notes(notes).applyInPandas(last_pass(buckets), RECORDS).groupBy("bucket").applyInPandas(last_judged, ANSWERS), "last"))
+    return numbered(with_notes(notes).applyInPandas(finish(buckets), RESULT))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Windows as hexadecimal strings, numbered by document and start; what lies in later ones goes.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS o FROM w) WHERE o > 1),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, g),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+c AS (SELECT q.doc_id, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS spans FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
