@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_packing": packing.op10_packing,
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op2_urls": urls.ORACLE, "op4_repeats": repeats.ORACLE, "op5_jaccard": jaccard.ORACLE}
