@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,19 +26,54 @@ def digest(c: Column) -> Column:
     return F.substring(F.md5(c), 1, 16)
 
 
-def cut(c: Column, limit: int, least: int) -> Column:
-    """At most limit characters, cut at the last space if that keeps more than least."""
-    head = F.substring(c, 1, limit)
-    at = F.length(head) - F.locate(" ", F.reverse(head)) + 1
-    return F.when(F.length(c) <= limit, c).when(F.contains(head, F.lit(" ")) & (at - 1 > least), F.rtrim(F.substring(head, F.lit(1), at - 1))).otherwise(head)
+TAGS = ("<комментарий>", "<вердикт>")
+STRIPPED = " ,;:-"
 
 
 def clipped(c: Column, fallback: str, least: int = 50, most: int = 300) -> Column:
-    """A comment of least to most characters: tags out, spaces collapsed, short ones filled with the fallback."""
-    plain = collapsed(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]*>", " "))
+    """A comment of least to most characters: spaces collapsed and the answer's tags taken out, long ones cut at the last
+    space if that keeps more than least, short ones followed by the fallback, and at last filled with spaces."""
+    plain = collapsed(F.coalesce(c, F.lit("")))
+    for tag in TAGS:
+        plain = F.replace(plain, F.lit(tag), F.lit(" "))
+    plain = F.trim(plain)
     plain = F.when(plain == "", F.lit(fallback)).otherwise(plain)
-    full = F.when(F.length(plain) < least, F.concat(plain, F.lit(" " + fallback))).otherwise(plain)
-    return F.rpad(cut(full, most, least), F.greatest(F.lit(least), F.length(cut(full, most, least))), F.lit("."))
+    head = F.substring(plain, 1, most + 1)
+    back = F.locate(" ", F.reverse(head))
+    at = F.when(back > 0, F.length(head) - back).otherwise(-1)
+    short = F.rtrim(F.when(at > least, F.substring(head, F.lit(1), at)).otherwise(F.substring(head, 1, most)), F.lit(STRIPPED))
+    done = F.when(F.length(plain) > most, short).otherwise(plain)
+    longer = F.substring(collapsed(F.concat(F.rtrim(done, F.lit(". ")), F.lit(". " + fallback))), 1, most)
+    done = F.when(F.length(done) < least, longer).otherwise(done)
+    return F.rpad(done, F.greatest(F.lit(least), F.length(done)), F.lit(" "))
+
+
+def filled(template: str, fields: dict[str, Column]) -> Column:
+    """The template with {name} replaced by the field; names without a field by nothing."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else F.coalesce(fields.get(x, F.lit("")), F.lit("")) for i, x in enumerate(parts)])
+
+
+def inserted(text: Column, marker: str, what: Column) -> Column:
+    """what, put before the marker's first place; a text without the marker is an error."""
+    at = F.locate(marker, text)
+    found = F.concat(F.substring(text, F.lit(1), at - 1), what, F.substring(text, at, F.length(text)))
+    return F.when(at > 0, found).otherwise(F.raise_error(F.lit(f"no place for the insertion: {marker}")).cast("string"))
+
+
+def tail_replaced(text: Column, marker: str, tail: Column) -> Column:
+    """The text before the marker's first place, and tail; a text without the marker is an error."""
+    at = F.locate(marker, text)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), tail)).otherwise(F.raise_error(F.lit(f"no direct question: {marker}")).cast("string"))
+
+
+def frame_size(width: Column, height: Column, most: int, step: int) -> tuple[Column, Column]:
+    """Both sides, at most so many pixels in all, as multiples of step and two steps at least; frames that fit stay."""
+    area = width * height
+    fits = (area <= most) & (width % step == 0) & (height % step == 0)
+    scale = F.when(area > most, F.sqrt(F.lit(float(most)) / area)).otherwise(1.0)
+    side = lambda x: F.when(fits, x).otherwise(F.greatest(F.lit(2), F.floor(F.floor(x * scale) / step)) * step).cast("long")
+    return side(width), side(height)
 
 
 def answer(comment: Column, verdict: Column) -> Column:

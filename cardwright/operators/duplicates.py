@@ -7,24 +7,39 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import digest, normalized
 from cardwright.operators.components import connected_components
+from cardwright.session import staged
 
 SHINGLE, KEPT, BAND = 8, 16, 4
 #: Buckets with more members say nothing and link nobody; that is the operator's own rule.
 CROWD = 60
+#: The same for keys of pictures that look alike.
+ALIKE = 12
 
 
-def exact_keys(cards: DataFrame, empty: bool = False) -> DataFrame:
+def exact_keys(cards: DataFrame, lookup: bool = False) -> DataFrame:
     """id, category, label, kind, ord, key: whole card, description of 40 characters or more, name of 10 or more.
 
-    Grouping asks for empty cards too: their whole card is a key like any other, so it links all of them.
+    Grouping takes every whole card, so empty cards are linked; a lookup takes those with a name and a description.
     """
     n, d = normalized(F.col("name")), normalized(F.col("description"))
     rows = cards.select("id", "category", "label", n.alias("n"), d.alias("d"))
     key = lambda kind, test, value: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("ord"), F.when(test, digest(value)).alias("key"))
-    keys = F.array(key("name_desc", F.lit(True) if empty else F.length(F.concat("n", "d")) > 0, F.concat_ws("|", "n", "d")), key("desc", F.length("d") >= 40, F.col("d")), key("name", F.length("n") >= 10, F.col("n")))
+    whole = (F.length("n") > 0) & (F.length("d") > 0) if lookup else F.lit(True)
+    keys = F.array(key("name_desc", whole, F.concat_ws("|", "n", "d")), key("desc", F.length("d") >= 40, F.col("d")), key("name", F.length("n") >= 10, F.col("n")))
     return rows.select("id", "category", "label", F.explode(keys).alias("k")).select("id", "category", "label", "k.*").where("key IS NOT NULL")
 
 
+def all_keys(cards: DataFrame, lookup: bool = False) -> DataFrame:
+    """Exact keys and bands, made once."""
+    return staged(exact_keys(cards, lookup).unionByName(bands(cards)), "keys")
+
+
+def picture_keys(pictures: DataFrame) -> DataFrame:
+    """id, kind, key of a table (id, exact, like): hashes of the pictures' bytes (m) and of their looks (p)."""
+    each = F.array(F.struct(F.lit("m").alias("kind"), F.col("exact").alias("key")), F.struct(F.lit("p").alias("kind"), F.col("like").alias("key")))
+    return pictures.select("id", F.explode(each).alias("k")).select("id", "k.kind", "k.key").where("key IS NOT NULL")
+
+
 def bands(cards: DataFrame) -> DataFrame:
     """id, category, label, kind, ord, key: up to four bands of the 16 least shingle hashes; none for fewer than 12 words.
 
@@ -42,7 +57,7 @@ def bands(cards: DataFrame) -> DataFrame:
 
 def star_edges(keys: DataFrame, crowd: dict[str, int] | None = None) -> DataFrame:
     """a, b: each key's least id with each other one. Kinds in crowd link nobody where a key has more members."""
-    caps = {"band": CROWD, **(crowd or {})}
+    caps = {"band": CROWD, "m": CROWD, "p": ALIKE, **(crowd or {})}
     heads = keys.groupBy("kind", "key").agg(F.min("id").alias("a"), F.count_distinct("id").alias("n"))
     bar = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in caps.items()], F.lit(1 << 62))
     heads = heads.where((F.col("n") > 1) & (F.col("n") <= bar)).drop("n")
@@ -51,7 +66,12 @@ def star_edges(keys: DataFrame, crowd: dict[str, int] | None = None) -> DataFram
 
 def groups(cards: DataFrame, keys: DataFrame) -> DataFrame:
     """id, category, label, grp: the least id of the card's group."""
-    found = connected_components(star_edges(keys))
+    return linked_groups(cards, star_edges(keys))
+
+
+def linked_groups(cards: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups(), of links that are already there."""
+    found = connected_components(edges)
     out = cards.select("id", "category", "label").join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
     return out.select("id", "category", "label", F.coalesce("c", "id").alias("grp"))
 
@@ -80,3 +100,10 @@ def looked_up(keys: DataFrame, table: DataFrame) -> DataFrame:
     found = keys.select("id", "kind", "ord", "key").join(table.select("kind", "key", F.col("label").alias("hit")), ["kind", "key"])
     best = found.groupBy("id").agg(F.min(F.struct(tier.alias("tier"), F.col("ord"), F.col("hit"))).alias("m"))
     return best.select("id", "m.hit", F.col("m.tier").cast("int").alias("tier"))
+
+
+def applied(verdicts: DataFrame, hits: DataFrame) -> DataFrame:
+    """verdicts (id, verdict) with hit; where a known label is not undecided it takes the place of the verdict."""
+    hit = F.col("hit")
+    out = verdicts.join(hits.select("id", "hit"), "id", "left")
+    return out.withColumn("verdict", F.when(F.abs(hit - 0.5) > 1e-9, (hit > 0.5).cast("int")).otherwise(F.col("verdict")))

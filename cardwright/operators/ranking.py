@@ -21,7 +21,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], values: list[st
     sums = sums.select("_range", *keys, *[F.coalesce(F.sum(f"_s_{v}").over(so_far), F.lit(0)).alias(f"_b_{v}") for v in values], *[F.sum(f"_s_{v}").over(Window.partitionBy(*keys)).alias(f"total_{v}") for v in values])
     inner = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_w_{v}") for v in values])
-    joined = local.join(sums, ["_range", *keys])
+    named = sums.withColumnsRenamed({k: f"_k_{k}" for k in ["_range", *keys]})
+    same = local["_range"] == named["_k__range"]
+    for k in keys:
+        same = same & local[k].eqNullSafe(named[f"_k_{k}"])  # a null key is a key
+    joined = local.join(named, same)
     return joined.select(*df.columns, *[(F.col(f"_b_{v}") + F.col(f"_w_{v}")).alias(f"before_{v}") for v in values], *[f"total_{v}" for v in values])
 
 
@@ -34,7 +38,16 @@ def tallied(df: DataFrame, keys: list[str], score: str, **sums: Column) -> DataF
 def percentile_rank(df: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
     """df with out: the average rank of the score (ties share it), by the key's number of rows. Null scores get null."""
     t = tallied(df, keys, score).select(*keys, score, ((F.col("before_n") + (F.col("n") + 1) / 2) / F.col("total_n")).alias(out))
-    return df.join(t, [*keys, score], "left")
+    return joined_on(df, t, [*keys, score], [out])
+
+
+def joined_on(df: DataFrame, other: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+    """df, with the columns more of other, a row for each of the values on; null is a value."""
+    named = other.select(*[F.col(c).alias(f"_o_{c}") for c in on], *more)
+    same = df[on[0]].eqNullSafe(named[f"_o_{on[0]}"])
+    for c in on[1:]:
+        same = same & df[c].eqNullSafe(named[f"_o_{c}"])
+    return df.join(named, same, "left").drop(*[f"_o_{c}" for c in on])
 
 
 def rate_selected(df: DataFrame, keys: list[str], score: str, rate: float, out: str) -> DataFrame:
@@ -42,7 +55,7 @@ def rate_selected(df: DataFrame, keys: list[str], score: str, rate: float, out:
     t = tallied(df, keys, score)
     k = F.greatest(F.lit(1), F.bround(F.lit(rate) * F.col("total_n"), 0))
     bar = t.where(F.col("total_n") - F.col("before_n") >= k).groupBy(*keys).agg(F.max(score).alias("_bar"))
-    return df.join(bar, keys, "left").withColumn(out, F.coalesce(F.col(score) >= F.col("_bar"), F.lit(False))).drop("_bar")
+    return joined_on(df, bar, keys, ["_bar"]).withColumn(out, F.coalesce(F.col(score) >= F.col("_bar"), F.lit(False))).drop("_bar")
 
 
 def top_fraction(df: DataFrame, keys: list[str], score: str, tie: str, fraction: float, out: str) -> DataFrame:
@@ -56,7 +69,7 @@ def quantile_map(df: DataFrame, ref: DataFrame, keys: list[str], score: str, out
     both = df.select(*keys, score, F.lit(0).alias("_ref")).union(ref.select(*keys, score, F.lit(1)))
     t = tallied(both, keys, score, r=F.col("_ref"))
     at = F.when(F.col("total_r") > 0, (F.col("before_r") + F.col("r") / 2) / F.col("total_r")).otherwise(0.5)
-    return df.join(t.select(*keys, score, at.alias(out)), [*keys, score], "left")
+    return joined_on(df, t.select(*keys, score, at.alias(out)), [*keys, score], [out])
 
 
 def curves(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -89,3 +102,14 @@ def sweep(df: DataFrame, keys: list[str], score: str, label: str, grid: list[flo
 def best_threshold(swept: DataFrame, keys: list[str]) -> DataFrame:
     """keys, threshold, f1: the greatest f1, of equal ones the smallest threshold."""
     return swept.groupBy(*keys).agg(F.max(F.struct(F.col("f1"), -F.col("threshold"))).alias("m")).select(*keys, (-F.col("m.col2")).alias("threshold"), F.round("m.f1", 6).alias("f1"))
+
+
+def quantiles(df: DataFrame, keys: list[str], score: str, points: list[float]) -> DataFrame:
+    """keys, point, value: linear between the neighbours by rank. Equal scores are counted, and no task sees all of them."""
+    t = tallied(df, keys, score)
+    marks = F.array(*[F.struct(F.lit(float(p)).alias("point"), (F.lit(float(p)) * (F.col("total_n") - 1)).alias("at")) for p in points])
+    ends = t.select(*keys, F.col(score).alias("_x"), "before_n", "n", F.explode(marks).alias("_m")).select("*", F.floor("_m.at").alias("_low"), F.ceil("_m.at").alias("_high"))
+    inside = lambda c: (F.col(c) >= F.col("before_n")) & (F.col(c) < F.col("before_n") + F.col("n"))
+    ends = ends.where(inside("_low") | inside("_high"))
+    both = ends.groupBy(*keys, F.col("_m.point").alias("point")).agg(F.max(F.when(inside("_low"), F.col("_x"))).alias("_a"), F.max(F.when(inside("_high"), F.col("_x"))).alias("_b"), F.first(F.col("_m.at") - F.col("_low")).alias("_t"))
+    return both.select(*keys, "point", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).alias("value"))

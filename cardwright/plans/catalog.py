@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from cardwright.functions import text as T
 from cardwright.operators import duplicates as D
 from cardwright.operators import ranking as R
+from cardwright.operators import features as V
 from cardwright.operators.cards import cards, scored, unit
+from cardwright.session import stepwise
+from cardwright.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +31,7 @@ COLL = "trim(regexp_replace({0}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
 
 def query(name: str, sql: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = stepwise(f)
         if sql:
             ORACLES[name] = sql
         return f
@@ -58,87 +61,25 @@ def p02_model_text(spark, sf):
     return cards(spark, sf).select("id", T.model_text(F.col("name"), F.col("description")).alias("model_text"))
 
 
-#: flag, column, pattern; patterns use explicit classes, so that both engines read them alike
-RULES = [
-    ("has_link", "description", "https?://"),
-    ("has_license", "description", "(?i)(license|copyright|all rights reserved)"),
-    ("has_digit_name", "name", "[0-9]"),
-    ("has_secret", "description", "(?i)(password|token|secret|api_?key)"),
-    ("has_mail", "description", "[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][a-z]"),
-    ("has_question", "description", "[?]"),
-]
-GUESS = "CASE WHEN has_secret OR has_mail THEN 0 WHEN has_license THEN 0 WHEN has_link AND NOT has_question THEN 0 WHEN category = 'en' THEN 1 WHEN has_digit_name THEN 0 ELSE 1 END"
-_FLAGS = ", ".join(f"regexp_matches({c}, '{p}') AS {k}" for k, c, p in RULES)
+# Fixed value: what a comment says where it has nothing of its own.
+FALLBACK = "Автоматическая проверка карточки завершена, решение принято по названию, описанию и изображениям товара."
+_TIDY = "trim(replace(replace({0}, '<комментарий>', ' '), '<вердикт>', ' '))".format(COLL.format("description"))
+_CLIPPED = f"""pl AS (SELECT id, coalesce(label, 0) AS v, coalesce(nullif({_TIDY}, ''), '{FALLBACK}') AS t FROM cards),
+ hd AS (SELECT id, v, t, substr(t, 1, 301) AS h, CASE WHEN contains(substr(t, 1, 301), ' ') THEN length(substr(t, 1, 301)) - position(' ' IN reverse(substr(t, 1, 301))) ELSE -1 END AS c FROM pl),
+ ct AS (SELECT id, v, CASE WHEN length(t) <= 300 THEN t ELSE rtrim(CASE WHEN c > 50 THEN substr(h, 1, c) ELSE substr(h, 1, 300) END, ' ,;:-') END AS t FROM hd),
+ cl AS (SELECT id, v, CASE WHEN length(t) < 50 THEN substr({COLL.format("rtrim(t, '. ') || '. " + FALLBACK + "'")}, 1, 300) ELSE t END AS t FROM ct)"""
+ANSWERS = f"{CARDS}, {_CLIPPED}, answers AS (SELECT id, rpad(t, CAST(greatest(50, length(t)) AS INTEGER), ' ') AS comment, '<комментарий>' || rpad(t, CAST(greatest(50, length(t)) AS INTEGER), ' ') || '<вердикт>' || CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS result, CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS verdict FROM cl)"
 
 
-def _flagged(spark, sf):
-    return cards(spark, sf).select("id", "category", *[F.col(c).rlike(p).alias(k) for k, c, p in RULES])
+def answers(spark, sf):
+    """id, comment, result, verdict: parsed from the result again."""
+    made = cards(spark, sf).select("id", T.answer(T.clipped(F.col("description"), FALLBACK), F.coalesce("label", F.lit(0))).alias("result"))
+    return made.select("id", F.regexp_extract("result", S.ANSWER, 1).alias("comment"), "result", F.regexp_extract("result", S.ANSWER, 2).alias("verdict"))
 
 
-@query("p03_evidence", f"WITH {CARDS} SELECT id, {_FLAGS} FROM cards")
-def p03_evidence(spark, sf):
-    return _flagged(spark, sf).drop("category")
-
-
-@query("p05_rule_guess", f"WITH {CARDS}, e AS (SELECT id, category, {_FLAGS} FROM cards) SELECT id, CAST({GUESS} AS INTEGER) AS guess FROM e")
-def p05_rule_guess(spark, sf):
-    return _flagged(spark, sf).select("id", F.expr(GUESS).cast("int").alias("guess"))
-
-
-_FACTS = ", ".join(f"CASE WHEN {k} THEN '- {k[4:]}' END" for k, _, _ in RULES)
-
-
-@query("p08_facts_block", f"WITH {CARDS}, e AS (SELECT id, {_FLAGS} FROM cards), f AS (SELECT id, concat_ws(chr(10), {_FACTS}) AS t FROM e) SELECT id, CASE WHEN t = '' THEN '' ELSE 'Facts:' || chr(10) || t END AS facts FROM f")
-def p08_facts_block(spark, sf):
-    facts = F.filter(F.array(*[F.when(F.col(k), F.lit(f"- {k[4:]}")) for k, _, _ in RULES]), lambda x: x.isNotNull())
-    e = _flagged(spark, sf).select("id", facts.alias("f"))
-    return e.select("id", F.when(F.size("f") > 0, F.concat(F.lit("Facts:\n"), F.array_join("f", "\n"))).otherwise("").alias("facts"))
-
-
-TYPES = [("list", "^[-*0-9]"), ("question", "[?]"), ("heading", "^[A-Z][A-Z ]+$"), ("number", "[0-9]"), ("sentence", "[.]$")]
-_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{k}'" for k, p in TYPES) + " ELSE 'other' END"
-
-
-@query("p10_product_type", f"WITH {CARDS}, t AS (SELECT id, {_TYPE} AS type FROM cards) SELECT id, type, " + ", ".join(f"CAST(type = '{k}' AS DOUBLE) AS is_{k}" for k, _ in [*TYPES, ("other", "")]) + " FROM t")
-def p10_product_type(spark, sf):
-    t = cards(spark, sf).select("id", T.first_match(F.col("name"), TYPES, "other").alias("type"))
-    return t.select("id", "type", *[(F.col("type") == k).cast("double").alias(f"is_{k}") for k, _ in [*TYPES, ("other", "")]])
-
-
-@query(
-    "p12_numeric_features",
-    f"""WITH {CARDS} SELECT id, round(ln(1 + length(name)), 6) AS l_name, round(ln(1 + length(description)), 6) AS l_desc,
-  round(ln(2 + length(description) - length(replace(description, ' ', ''))), 6) AS l_words, length(description) < 5 AS desc_empty,
-  length(description) - length(regexp_replace(description, '[0-9]', '', 'g')) AS n_digits,
-  round((length(description) - length(regexp_replace(description, '[A-Z]', '', 'g'))) / greatest(length(description), 1)::DOUBLE, 6) AS upper_share FROM cards""",
-)
-def p12_numeric_features(spark, sf):
-    d, n = F.col("description"), F.length("description")
-    lost = lambda p: n - F.length(F.regexp_replace(d, p, ""))
-    return cards(spark, sf).select("id", F.round(F.log1p(F.length("name")), 6).alias("l_name"), F.round(F.log1p(n), 6).alias("l_desc"), F.round(F.log1p(lost(" ") + 1), 6).alias("l_words"), (n < 5).alias("desc_empty"), lost("[0-9]").cast("long").alias("n_digits"), F.round(lost("[A-Z]") / F.greatest(n, F.lit(1)), 6).alias("upper_share"))
-
-
-@query("p14_prompt", f"WITH {CARDS} SELECT id, 'Category: ' || category || chr(10) || 'Name: ' || substr(name, 1, 40) || chr(10) || substr(description, 1, 200) AS prompt FROM cards")
-def p14_prompt(spark, sf):
-    return cards(spark, sf).select("id", F.concat(F.lit("Category: "), "category", F.lit("\nName: "), F.substring("name", 1, 40), F.lit("\n"), F.substring("description", 1, 200)).alias("prompt"))
-
-
-_FALL = "The card was checked against the rules of its category and its text."
-_PLAIN = "CASE WHEN {0} = '' THEN '" + _FALL + "' ELSE {0} END"
-
-
-@query(
-    "p16_answer",
-    f"""WITH {CARDS}, c AS (SELECT id, coalesce(label, 0) AS v, {COLL.format("regexp_replace(description, '<[^>]*>', ' ', 'g')")} AS t FROM cards),
-  p AS (SELECT id, v, {_PLAIN.format('t')} AS t FROM c), f AS (SELECT id, v, CASE WHEN length(t) < 50 THEN t || ' {_FALL}' ELSE t END AS t FROM p),
-  h AS (SELECT id, v, t, substr(t, 1, 300) AS h FROM f),
-  k AS (SELECT id, v, CASE WHEN length(t) <= 300 THEN t WHEN contains(h, ' ') AND length(h) - position(' ' IN reverse(h)) > 50 THEN rtrim(substr(h, 1, length(h) - position(' ' IN reverse(h)))) ELSE h END AS c FROM h)
-  SELECT id, c AS comment, '<комментарий>' || c || '<вердикт>' || CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS result, CASE WHEN v = 1 THEN 'не бан' ELSE 'бан' END AS verdict FROM k""",
-)
+@query("p16_answer", f"WITH {ANSWERS} SELECT * FROM answers")
 def p16_answer(spark, sf):
-    made = cards(spark, sf).select("id", T.answer(T.clipped(F.col("description"), _FALL), F.coalesce("label", F.lit(0))).alias("result"))
-    form = "(?s)^<комментарий>(.*)<вердикт>(.*)$"
-    return made.select("id", F.regexp_extract("result", form, 1).alias("comment"), "result", F.regexp_extract("result", form, 2).alias("verdict"))
+    return answers(spark, sf)
 
 
 @query("p21_sigmoid", f"WITH {SCORED} SELECT id, round(1 / (1 + exp(-(ln(exp(a) + exp(b)) - ln(exp(1 - a) + exp(1 - b))))), 6) AS p FROM scored")
@@ -168,10 +109,11 @@ def p29_short_text(spark, sf):
 # duplicates
 
 
-_KEYS = f"""n AS (SELECT id, category, label, {NORM.format('name')} AS n, {NORM.format('description')} AS d FROM cards),
- keys AS (SELECT id, category, label, 'name_desc' AS kind, substr(md5(n || '|' || d), 1, 16) AS key FROM n WHERE length(n || d) > 0
-  UNION ALL SELECT id, category, label, 'desc', substr(md5(d), 1, 16) FROM n WHERE length(d) >= 40
+_NORMAL = f"n AS (SELECT id, category, label, {NORM.format('name')} AS n, {NORM.format('description')} AS d FROM cards)"
+_SOME = """ UNION ALL SELECT id, category, label, 'desc', substr(md5(d), 1, 16) FROM n WHERE length(d) >= 40
   UNION ALL SELECT id, category, label, 'name', substr(md5(n), 1, 16) FROM n WHERE length(n) >= 10)"""
+_KEYS = f"{_NORMAL}, keys AS (SELECT id, category, label, 'name_desc' AS kind, substr(md5(n || '|' || d), 1, 16) AS key FROM n {_SOME}"
+_LOOKUP_KEYS = f"{_NORMAL}, keys AS (SELECT id, category, label, 'name_desc' AS kind, substr(md5(n || '|' || d), 1, 16) AS key FROM n WHERE length(n) > 0 AND length(d) > 0 {_SOME}"
 _BANDS = f"""w AS (SELECT id, category, label, string_split({NORM.format('description')}, ' ') AS w FROM cards),
  x AS (SELECT DISTINCT id, substr(md5(array_to_string(w[i : i + 7], ' ')), 1, 12) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 12)),
  y AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) - 1 AS r FROM x), z AS (SELECT id, r // 4 AS b, string_agg(h, '-' ORDER BY h) AS hs, count(*) AS c FROM y WHERE r < 16 GROUP BY id, r // 4),
@@ -188,6 +130,11 @@ def g04_exact_keys(spark, sf):
     return D.exact_keys(cards(spark, sf)).select("id", "kind", "key")
 
 
+@query("g04_lookup_keys", f"WITH {CARDS}, {_LOOKUP_KEYS} SELECT id, kind, key FROM keys")
+def g04_lookup_keys(spark, sf):
+    return D.exact_keys(cards(spark, sf), lookup=True).select("id", "kind", "key")
+
+
 _ALL = f"{CARDS}, {_KEYS}, {_BANDS}, allkeys AS (SELECT id, kind, key FROM keys UNION ALL SELECT id, 'band', key FROM bands)"
 _EDGES = """heads AS (SELECT kind, key, min(id) AS a FROM allkeys GROUP BY kind, key HAVING count(DISTINCT id) > 1 AND (kind <> 'band' OR count(DISTINCT id) <= 60)),
  edges AS (SELECT DISTINCT a, k.id AS b FROM allkeys k JOIN heads USING (kind, key) WHERE a <> k.id)"""
@@ -198,67 +145,134 @@ _PURITY = """g AS (SELECT category, grp, count(*) AS n, avg(label) AS m FROM gro
  count(*) FILTER (n > 1 AND m > 0 AND m < 1) AS n_mixed, round(CASE WHEN count(*) FILTER (n > 1) > 0 THEN 1 - count(*) FILTER (n > 1 AND m > 0 AND m < 1) / (count(*) FILTER (n > 1))::DOUBLE ELSE 1 END, 6) AS purity FROM g GROUP BY category"""
 
 
-def _keys(spark, sf, empty=False):
-    c = cards(spark, sf)
-    return c, D.exact_keys(c, empty).unionByName(D.bands(c))
+_OVERALL = _PURITY.replace("SELECT category, grp, count(*)", "SELECT 'all' AS category, grp, count(*)").replace("GROUP BY category, grp", "GROUP BY grp")
+
+
+def _keys(spark, sf, use="grouping"):
+    return D.all_keys(cards(spark, sf), use == "lookup")
+
+
+def _groups(spark, sf):
+    return D.groups(cards(spark, sf), _keys(spark, sf))
 
 
 @query("g05_links", f"WITH {_ALL}, {_EDGES} SELECT a, b FROM edges")
 def g05_links(spark, sf):
-    return D.star_edges(_keys(spark, sf, empty=True)[1])
+    return D.star_edges(_keys(spark, sf))
 
 
 @query("g08_components", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS} SELECT id, grp FROM grouped")
 def g08_components(spark, sf):
-    return D.groups(*_keys(spark, sf, empty=True)).select("id", "grp")
+    return _groups(spark, sf).select("id", "grp")
 
 
 @query("g08_duplicate_groups", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, {_PURITY}")
 def g08_duplicate_groups(spark, sf):
-    return D.purity(D.groups(*_keys(spark, sf, empty=True)), "category")
+    return D.purity(_groups(spark, sf), "category")
+
+
+@query("a01_purity", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, {_OVERALL}")
+def a01_purity(spark, sf):
+    return D.purity(_groups(spark, sf).withColumn("category", F.lit("all")), "category")
+
+
+#: Hashes of pictures, played by a document's length and origin.
+_PICTURES = "pics AS (SELECT doc_id AS id, 'm' AS kind, md5(CAST(n_chars AS VARCHAR) || source) AS key FROM documents UNION ALL SELECT doc_id, 'p', substr(md5(CAST(n_chars // 4 AS VARCHAR) || source || lang), 1, 16) FROM documents)"
+_PICTURE_HEADS = """heads AS (SELECT kind, key, min(id) AS a FROM pics WHERE key IS NOT NULL GROUP BY kind, key HAVING count(DISTINCT id) > 1 AND count(DISTINCT id) <= CASE kind WHEN 'm' THEN 60 ELSE 12 END),
+ edges AS (SELECT DISTINCT a, k.id AS b FROM pics k JOIN heads USING (kind, key) WHERE a <> k.id)"""
+
+
+def _pictures(spark, sf):
+    n, where = F.col("n_chars"), F.col("source")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return D.picture_keys(docs.select(F.col("doc_id").alias("id"), F.md5(F.concat(n.cast("string"), where)).alias("exact"), T.digest(F.concat(F.floor(n / 4).cast("string"), where, "lang")).alias("like")))
+
+
+@query("g06_picture_links", f"WITH {_PICTURES}, {_PICTURE_HEADS} SELECT a, b FROM edges")
+def g06_picture_links(spark, sf):
+    return D.star_edges(_pictures(spark, sf))
 
 
-@query("g09_ablation", f"WITH RECURSIVE {CARDS}, {_KEYS}, allkeys AS (SELECT id, kind, key FROM keys), {_EDGES}, {_GROUPS}, {_PURITY}")
+_VARIANT = lambda name, keys, tail: f"(WITH RECURSIVE {CARDS}, {keys}, {_EDGES}, {_GROUPS}, {_PURITY.replace('SELECT category, count(*) AS n_groups', f'SELECT {chr(39)}{name}{chr(39)} AS variant, category, count(*) AS n_groups')})"
+_EXACT = f"{_KEYS}, allkeys AS (SELECT id, kind, key FROM keys)"
+_SHINGLED = f"{_KEYS}, {_BANDS}, allkeys AS (SELECT id, kind, key FROM keys UNION ALL SELECT id, 'band', key FROM bands)"
+_PICTURED = f"{_KEYS}, {_BANDS}, {_PICTURES}, allkeys AS (SELECT id, kind, key FROM keys UNION ALL SELECT id, 'band', key FROM bands UNION ALL SELECT id, kind, key FROM pics WHERE key IS NOT NULL)"
+_CAPPED = lambda sql: sql.replace("(kind <> 'band' OR count(DISTINCT id) <= 60)", "(kind NOT IN ('band', 'm', 'p') OR count(DISTINCT id) <= CASE kind WHEN 'p' THEN 12 ELSE 60 END)")
+
+
+@query("g09_ablation", _CAPPED(" UNION ALL ".join([_VARIANT("exact", _EXACT, ""), _VARIANT("shingles", _SHINGLED, ""), _VARIANT("pictures", _PICTURED, "")])))
 def g09_ablation(spark, sf):
-    c = cards(spark, sf)
-    return D.purity(D.groups(c, D.exact_keys(c, empty=True)), "category")
+    """Links are made once; each variant groups by those of its kinds."""
+    c, keys = cards(spark, sf), _keys(spark, sf).select("id", "kind", "key")
+    exact, band, pictures = D.star_edges(keys.where("kind <> 'band'")), D.star_edges(keys.where("kind = 'band'")), D.star_edges(_pictures(spark, sf))
+    variants = {"exact": exact, "shingles": exact.union(band), "pictures": exact.union(band).union(pictures)}
+    done = [D.purity(D.linked_groups(c, edges), "category").withColumn("variant", F.lit(name)) for name, edges in variants.items()]
+    return done[0].unionByName(done[1]).unionByName(done[2])
 
 
 @query("a03_rare_stats", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, s AS (SELECT grp, count(*) AS n FROM grouped GROUP BY grp) SELECT category, count(*) AS positives, count(DISTINCT g.grp) AS n_groups, count(*) FILTER (n > 1) AS with_sibling FROM grouped g JOIN s ON g.grp = s.grp WHERE label = 1 GROUP BY category")
 def a03_rare_stats(spark, sf):
-    g = D.groups(*_keys(spark, sf, empty=True))
+    g = _groups(spark, sf)
     size = g.groupBy("grp").agg(F.count("*").alias("n"))
     return g.where("label = 1").join(size, "grp").groupBy("category").agg(F.count("*").alias("positives"), F.count_distinct("grp").alias("n_groups"), F.count_if(F.col("n") > 1).alias("with_sibling"))
 
 
-_KNOWN = f"""{CARDS}, {_KEYS}, {_BANDS}, lk AS (SELECT id, category, label, kind, 0 AS ord, key FROM keys UNION ALL SELECT b.id, c.category, c.label, 'band', ord, key FROM bands b JOIN cards c ON b.id = c.id),
+KNOWN = f"""{CARDS}, {_LOOKUP_KEYS}, {_BANDS}, lk AS (SELECT id, category, label, kind, 0 AS ord, key FROM keys UNION ALL SELECT b.id, c.category, c.label, 'band', ord, key FROM bands b JOIN cards c ON b.id = c.id),
  m AS (SELECT kind, key, category, sum(label) AS s, count(*) AS c FROM lk WHERE label IS NOT NULL GROUP BY kind, key, category),
  known AS (SELECT kind, key, round(sum(s) / sum(c)::DOUBLE, 4) AS label, CAST(sum(c) AS BIGINT) AS n, arg_min(category, (-c, category)) AS category FROM m GROUP BY kind, key HAVING kind <> 'band' OR sum(c) <= 60)"""
 
 
-@query("g10_duplicate_table", f"WITH {_KNOWN} SELECT * FROM known")
+@query("g10_duplicate_table", f"WITH {KNOWN} SELECT * FROM known")
 def g10_duplicate_table(spark, sf):
-    return D.known(_keys(spark, sf)[1])
+    return D.known(_keys(spark, sf, "lookup"))
 
 
-@query(
-    "g11_lookup",
-    f"""WITH {_KNOWN}, t AS (SELECT lk.id, CASE lk.kind WHEN 'name_desc' THEN 1 WHEN 'desc' THEN 2 WHEN 'name' THEN 3 ELSE 4 END AS tier, ord, known.label AS hit FROM lk JOIN known USING (kind, key) WHERE lk.label IS NULL)
- SELECT id, hit, tier, CASE WHEN abs(hit - 0.5) > 1e-9 THEN CAST(hit > 0.5 AS INTEGER) END AS verdict FROM (SELECT id, arg_min(hit, (tier, ord)) AS hit, CAST(min(tier) AS INTEGER) AS tier FROM t GROUP BY id)""",
-)
+_HITS = f"""{KNOWN}, tiers AS (SELECT lk.id, CASE lk.kind WHEN 'name_desc' THEN 1 WHEN 'desc' THEN 2 WHEN 'name' THEN 3 ELSE 4 END AS tier, ord, known.label AS hit FROM lk JOIN known USING (kind, key) WHERE lk.label IS NULL),
+ hits AS (SELECT id, arg_min(hit, (tier, ord)) AS hit, CAST(min(tier) AS INTEGER) AS tier FROM tiers GROUP BY id)"""
+
+
+@query("j04_tiered_lookup", f"WITH {_HITS} SELECT * FROM hits")
+def j04_tiered_lookup(spark, sf):
+    keys = _keys(spark, sf, "lookup")
+    return D.looked_up(keys.where("label IS NULL"), D.known(keys))
+
+
+@query("g11_lookup", f"WITH {_HITS}, {SCORED.replace('scored AS', 'sc AS')} SELECT sc.id, hit, CASE WHEN abs(hit - 0.5) > 1e-9 THEN CAST(hit > 0.5 AS INTEGER) ELSE CAST(a >= 0.5 AS INTEGER) END AS verdict FROM sc LEFT JOIN hits USING (id) WHERE sc.label IS NULL")
 def g11_lookup(spark, sf):
-    keys = _keys(spark, sf)[1]
-    found = D.looked_up(keys.where("label IS NULL"), D.known(keys))
-    return found.withColumn("verdict", F.when(F.abs(F.col("hit") - 0.5) > 1e-9, (F.col("hit") > 0.5).cast("int")))
+    keys = _keys(spark, sf, "lookup")
+    model = scored(spark, sf).where("label IS NULL").select("id", (F.col("a") >= 0.5).cast("int").alias("verdict"))
+    return D.applied(model, D.looked_up(keys.where("label IS NULL"), D.known(keys))).select("id", "hit", "verdict")
+
+
+@query("g14_coverage", f"WITH {_HITS} SELECT count(*) AS n, count(hit) AS n_known, round(count(hit) / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER (abs(hit - 0.5) > 1e-9) AS n_decided FROM cards LEFT JOIN hits USING (id) WHERE label IS NULL")
+def g14_coverage(spark, sf):
+    keys = _keys(spark, sf, "lookup")
+    rows = cards(spark, sf).where("label IS NULL").select("id").join(D.looked_up(keys.where("label IS NULL"), D.known(keys)), "id", "left")
+    return rows.agg(F.count("*").alias("n"), F.count("hit").alias("n_known"), F.round(F.count("hit") / F.count("*"), 6).alias("coverage"), F.count_if(F.abs(F.col("hit") - 0.5) > 1e-9).alias("n_decided"))
 
 
 # joins, reports, set operations
 
 
-@query("j06_anti_semi", f"WITH {CARDS} SELECT id, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = id) AS has_vector FROM cards WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = id)")
-def j06_anti_semi(spark, sf):
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id")).distinct().withColumn("has_vector", F.lit(True))
-    return cards(spark, sf).select("id", "label").where("label IS NULL").select("id").join(vectors, "id", "left").select("id", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+@query("j06_not_done", "SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def j06_not_done(spark, sf):
+    docs, done = (spark.read.parquet(f"{sf}/{t}.parquet").select(F.col("doc_id").alias("id")) for t in ("documents", "labels"))
+    return docs.join(done, "id", "left_anti")
+
+
+@query("j07_only_known", "SELECT doc_id AS id, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def j07_only_known(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "source").join(vectors, "id", "left_semi")
+
+
+@query("j05_aligned", "SELECT d.doc_id AS id, coalesce(CAST(l.quality AS DOUBLE), 0.5) AS qa, coalesce(v.label, -1) AS cluster, coalesce(c.text, '') AS said FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id")
+def j05_aligned(spark, sf):
+    said = S.first_per_key(spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("id"), "turn", "text"), ["id"], ["turn"])
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("qa"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id")).join(labels, "id", "left").join(vectors, "id", "left").join(said.select("id", F.col("text").alias("said")), "id", "left")
+    return rows.select("id", F.coalesce("qa", F.lit(0.5)).alias("qa"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("said", F.lit("")).alias("said"))
 
 
 _THRESHOLDS = {"en": 0.6, "de": 0.55}
@@ -285,8 +299,12 @@ def a07_turn_histogram(spark, sf):
 
 @query("a08_describe", "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 4) AS std, min(n_chars) AS least, max(n_chars) AS most, round(quantile_cont(n_chars, 0.05), 6) AS q05, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.95), 6) AS q95 FROM documents")
 def a08_describe(spark, sf):
-    c = "n_chars"
-    return spark.read.parquet(f"{sf}/documents.parquet").agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"), *[F.round(F.percentile(c, p), 6).alias(k) for k, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))])
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("n_chars", F.lit(0).alias("k"))
+    c = F.col("n_chars")
+    plain = rows.groupBy("k").agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("least"), F.max(c).alias("most"))
+    at = {0.05: "q05", 0.5: "q50", 0.95: "q95"}
+    points = R.quantiles(rows, ["k"], "n_chars", list(at)).groupBy("k").agg(*[F.round(F.max(F.when(F.col("point") == p, F.col("value"))), 6).alias(name) for p, name in at.items()])
+    return plain.join(points, "k", "left").drop("k")
 
 
 @query("a09_top_sources", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
@@ -307,10 +325,11 @@ def a10_fold_pivot(spark, sf):
     return p.na.fill(0)
 
 
-@query("a11_smoothed_scores", f"WITH {SCORED}, d AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN md5(coalesce(text, '')) ELSE CAST(doc_id AS VARCHAR) END AS g FROM documents) SELECT s.id, round(m.x, 6) AS smooth FROM scored s JOIN d ON s.id = d.id JOIN (SELECT g, avg(a) AS x FROM scored JOIN d USING (id) GROUP BY g) m ON m.g = d.g")
+@query("a11_smoothed_scores", f"WITH RECURSIVE {_ALL}, {_EDGES}, {_GROUPS}, {SCORED.replace('scored AS', 'sc AS')}, g AS (SELECT sc.id, a, CASE WHEN sc.category = 'en' THEN grp ELSE -1 - sc.id END AS g FROM sc JOIN grouped ON sc.id = grouped.id) SELECT id, round(avg(a) OVER (PARTITION BY g), 6) AS smooth FROM g")
 def a11_smoothed_scores(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", F.md5(F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id").cast("string")).alias("g"))
-    rows = scored(spark, sf).select("id", "a").join(docs, "id")
+    """Scores become the means of their near-duplicate groups, in one category only."""
+    rows = scored(spark, sf).select("id", "a", "category").join(_groups(spark, sf).select("id", "grp"), "id")
+    rows = rows.withColumn("g", F.when(F.col("category") == "en", F.col("grp")).otherwise(-1 - F.col("id")))
     return rows.join(rows.groupBy("g").agg(F.avg("a").alias("x")), "g").select("id", F.round("x", 6).alias("smooth"))
 
 
@@ -331,14 +350,6 @@ def a14_prior_weights(spark, sf):
     return s.join(c, "category").select("id", F.round(F.when(F.col("label") == 1, 1.0).otherwise(F.col("p") * 0.9 / (0.1 * F.col("q"))), 6).alias("weight"))
 
 
-@query("a16_validation", f"WITH {CARDS}, r AS (SELECT id, label FROM cards), g AS (SELECT id, count(*) AS n FROM r GROUP BY id) SELECT (SELECT count(*) FROM g WHERE n > 1) AS n_duplicate, (SELECT count(*) FROM r WHERE label IS NULL) AS n_null, (SELECT count(*) FROM (SELECT DISTINCT vec_id FROM embeddings) WHERE vec_id NOT IN (SELECT id FROM r)) AS n_missing, (SELECT count(*) FROM g WHERE id NOT IN (SELECT vec_id FROM embeddings)) AS n_extra")
-def a16_validation(spark, sf):
-    g = cards(spark, sf).select("id", "label").groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull()).alias("z"))
-    wanted = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit(1).alias("want")).distinct()
-    both = g.join(wanted, "id", "full")
-    return both.agg(F.count_if(F.col("n") > 1).alias("n_duplicate"), F.sum(F.coalesce("z", F.lit(0))).alias("n_null"), F.count_if(F.col("n").isNull()).alias("n_missing"), F.count_if(F.col("want").isNull()).alias("n_extra"))
-
-
 @query("a22_cell_mean", f"WITH {SCORED} SELECT round(avg(m), 6) AS balanced FROM (SELECT category, label, avg(a) AS m FROM scored WHERE label IS NOT NULL GROUP BY category, label)")
 def a22_cell_mean(spark, sf):
     return scored(spark, sf).where("label IS NOT NULL").groupBy("category", "label").agg(F.avg("a").alias("m")).agg(F.round(F.avg("m"), 6).alias("balanced"))
@@ -398,28 +409,18 @@ def w16_curves(spark, sf):
     return R.curves(scored(spark, sf), ["category"], "a", "label")
 
 
-@query("u03_first_per_key", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+@query("u03_first_per_key", "SELECT source, doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def u03_first_per_key(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-
-
-@query("m01_downsampled", f"WITH {SCORED}, c AS (SELECT category, sum(label) AS p FROM scored WHERE label IS NOT NULL GROUP BY category), r AS (SELECT id, category, label, row_number() OVER (PARTITION BY category, label ORDER BY md5(CAST(id AS VARCHAR) || 'seed'), id) AS k FROM scored WHERE label IS NOT NULL) SELECT id, r.category, label FROM r JOIN c ON r.category = c.category WHERE label = 1 OR k <= p")
-def m01_downsampled(spark, sf):
-    s = scored(spark, sf).where("label IS NOT NULL").select("id", "category", "label", F.lit(1).alias("one"), F.md5(F.concat(F.col("id").cast("string"), F.lit("seed"))).alias("h"))
-    p = s.groupBy("category").agg(F.sum("label").alias("p"))
-    r = R.running(s, ["category", "label"], [F.col("h"), F.col("id")], ["one"])
-    return r.join(p, "category").where((F.col("label") == 1) | (F.col("before_one") < F.col("p"))).select("id", "category", "label")
+    return S.first_per_key(spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "lang", "n_chars"), ["source"], ["doc_id"])
 
 
 # features
 
 
-@query("f15_int8", "WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS s FROM embeddings) SELECT vec_id, round(s, 6) AS scale, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor(x::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END + 0.5))) AS INTEGER)), ',') AS q FROM e")
+@query("f15_int8", "WITH e AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS s FROM embeddings) SELECT vec_id, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6)::DOUBLE AS scale, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(x::DOUBLE / CASE WHEN s = 0 THEN 1 ELSE s END, 0))) AS INTEGER)), ',') AS q FROM e")
 def f15_int8(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    e = e.select("vec_id", "v", (F.array_max(F.transform("v", lambda x: F.abs(x))) / 127).alias("s"))
-    q = F.transform("v", lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")) + 0.5))).cast("string"))
-    return e.select("vec_id", F.round("s", 6).alias("scale"), F.array_join(q, ",").alias("q"))
+    scale, q = V.quantised(F.col("embedding"))
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(scale, 6).alias("scale"), F.array_join(F.transform(q, lambda x: x.cast("string")), ",").alias("q"))
 
 
 @query("f16_contrast", f"WITH {SCORED} SELECT id, round(a - b, 6) AS contrast, round((a - (1 - b)) / 2, 6) AS symmetric FROM scored")
@@ -427,15 +428,64 @@ def f16_contrast(spark, sf):
     return scored(spark, sf).select("id", F.round(F.col("a") - F.col("b"), 6).alias("contrast"), F.round((F.col("a") - (1 - F.col("b"))) / 2, 6).alias("symmetric"))
 
 
-_WORDS = f"words AS (SELECT id, unnest(string_split({NORM.format('description')}, ' ')) AS t FROM cards), tf AS (SELECT id, t, count(*) AS c FROM words WHERE length(t) >= 2 GROUP BY id, t), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t HAVING count(*) >= 2), nn AS (SELECT count(*) AS n FROM cards), wt AS (SELECT id, tf.t, (1 + ln(c)) * (ln((1 + n) / (1 + d)::DOUBLE) + 1) AS w FROM tf JOIN df ON tf.t = df.t, nn)"
+_TEXTS = f"txt AS (SELECT id, {_MODEL_TEXT} AS text FROM cards)"
+_GRAMS = "ws AS (SELECT id, regexp_extract_all(text, '[\\p{L}\\p{N}_]{2,}') AS w FROM txt), grams AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS t FROM ws)"
+_CHARS = "wd AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM txt), pd AS (SELECT id, ' ' || w || ' ' AS p FROM wd WHERE w <> ''), grams AS (SELECT id, substr(p, CAST(i AS BIGINT), k) AS t FROM (SELECT id, p, k, unnest(range(1, 1 + greatest(length(p) - k + 1, 1))) AS i FROM pd, (SELECT unnest([3, 4, 5]) AS k) WHERE k = 3 OR length(p) > k - 1))"
+_WEIGHTS = lambda least: f"tf AS (SELECT id, t, count(*) AS c FROM grams GROUP BY id, t), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t HAVING count(*) >= {least}), nn AS (SELECT count(*) AS n FROM cards), wt AS (SELECT id, tf.t, d, (1 + ln(c)) * (ln((1 + n) / (1 + d)::DOUBLE) + 1) AS w FROM tf JOIN df ON tf.t = df.t, nn)"
+_NORMS = "SELECT id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm, round(max(w) / sqrt(sum(w * w)), 5) AS top FROM wt GROUP BY id"
 
 
-@query("f01_tfidf", f"WITH {CARDS}, {_WORDS} SELECT id, count(*) AS n_terms, round(sqrt(sum(w * w)), 5) AS norm, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM wt GROUP BY id")
+def _texts(spark, sf):
+    return cards(spark, sf).select("id", T.model_text(F.col("name"), F.col("description")).alias("text"))
+
+
+def _norms(weights):
+    return weights.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.first("norm"), 4).alias("norm"), F.round(F.max("w"), 5).alias("top"))
+
+
+def _many(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+@query("f01_tfidf", f"WITH {CARDS}, {_TEXTS}, {_GRAMS}, {_WEIGHTS(2)} {_NORMS}")
 def f01_tfidf(spark, sf):
-    c = cards(spark, sf)
-    tf = c.select("id", F.explode(F.split(T.normalized(F.col("description")), " ")).alias("t")).where("length(t) >= 2").groupBy("id", "t").agg(F.count("*").alias("c"))
-    df = tf.groupBy("t").agg(F.count("*").alias("d")).where("d >= 2")
-    n = c.select("id").agg(F.count("*").alias("n"))
-    w = tf.join(df, "t").join(F.broadcast(n)).select("id", ((1 + F.log("c")) * (F.log((1 + F.col("n")) / (1 + F.col("d"))) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    return w.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(norm, 5).alias("norm"), F.round(F.max("w") / norm, 6).alias("top"))
+    return _norms(V.weighted(V.word_counts(_texts(spark, sf)), _many(spark, sf)))
+
+
+@query("f02_char_tfidf", f"WITH {CARDS}, {_TEXTS}, {_CHARS}, {_WEIGHTS(3)} {_NORMS}")
+def f02_char_tfidf(spark, sf):
+    return _norms(V.weighted(V.char_counts(_texts(spark, sf)), _many(spark, sf), 3))
+
+
+_NAMED = f"tx AS (SELECT {_MODEL_TEXT} AS text, id FROM (SELECT id, name, '' AS description FROM cards)), txt AS (SELECT min(id) AS id, text FROM tx GROUP BY text)"
+_COSINES = f"{CARDS}, {_NAMED}, {_GRAMS}, {_WEIGHTS(2).replace('FROM cards', 'FROM txt')}, un AS (SELECT wt.id, t, w / norm AS w FROM wt JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id) USING (id)), cs AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS cosine FROM un x JOIN un y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id HAVING sum(x.w * y.w) >= 0.6)"
+
+
+def _named(spark, sf):
+    """One card for each name; equal names are one class."""
+    return cards(spark, sf).select("id", T.model_text(F.col("name"), F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"))
+
+
+@query("j08_similar_names", f"WITH {_COSINES} SELECT a, b, round(cosine, 5) AS cosine FROM cs")
+def j08_similar_names(spark, sf):
+    texts = _named(spark, sf)
+    return V.similar(V.weighted(V.word_counts(texts), texts.count()), 0.6).select("a", "b", F.round("cosine", 5).alias("cosine"))
+
+
+@query("g07_similar_groups", f"WITH RECURSIVE {_COSINES}, members AS (SELECT tx.id AS b, txt.id AS a FROM tx JOIN txt USING (text) WHERE tx.id <> txt.id), edges AS (SELECT a, b FROM cs UNION SELECT a, b FROM members), {_GROUPS} SELECT id, grp FROM grouped")
+def g07_similar_groups(spark, sf):
+    """Cards whose names are equal or similar, and what these links join."""
+    c, texts = cards(spark, sf), _named(spark, sf)
+    links = V.similar(V.weighted(V.word_counts(texts), texts.count()), 0.6).select("a", "b")
+    equal = c.select(F.col("id").alias("b"), T.model_text(F.col("name"), F.lit("")).alias("text")).join(texts.withColumnRenamed("id", "a"), "text").where("a <> b").select("a", "b")
+    return D.linked_groups(c, links.union(equal)).select("id", "grp")
+
+
+@query("f09_nearest", """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+ s AS (SELECT query, vec_id AS id, label, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 9) AS c FROM q, embeddings WHERE vec_id <> query),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS rank FROM s), k AS (SELECT query, label, sum(1 / greatest(1 - c, 1e-12)) AS w FROM n WHERE rank <= 15 GROUP BY query, label)
+ SELECT query, arg_min(label, (-round(w, 6), label)) AS label, round(max(w) / sum(w), 5) AS share FROM k GROUP BY query""")
+def f09_nearest(spark, sf):
+    """Every vector whose id 50 divides, against all."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return V.voted(V.nearest(v, v.where("id % 50 = 0"), 15))
