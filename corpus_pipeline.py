@@ -1,8 +1,9 @@
 """A corpus, made ready for training: language, near duplicates, benchmark passages, personal data, packing.
 
 Each stage takes the documents that the one before has kept. Null texts go with the first stage, as they have no
-language; a null doc_id links with nothing and stays; of rows that repeat a doc_id the second stage keeps one. All stages
-but the last return the columns of documents, extra ones included; an empty table stays empty.
+language. Rows without a doc_id and rows that repeat one are documents like any other: the second stage groups rows, and
+of each group that row stays which is first by doc_id (null last), then by a hash of its text. All stages but the last
+return the columns of documents, extra ones included; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwright.llm import decontamination, jaccard, language, packing, pii
-from cardwright.session import staged
+from cardwright.session import staged, stepwise
 
 #: SQL can't express the trained and hashed stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
@@ -24,14 +25,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where(~F.col("rejected")).select("_row.*")
 
 
+@stepwise
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near duplicates."""
-    groups = staged(jaccard.linked(docs), "near-duplicates")
-    others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        groups = staged(jaccard.linked(docs), "near-duplicates")
+        others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_other"))
+        return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard.linked(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", F.xxhash64("text").alias("b"), F.col(row).alias("row"))
+    kept = docs.join(groups, F.col(row) == F.col("_of")).groupBy("_group").agg(F.min(order).alias("_m")).select(F.col("_m.row").alias("_kept"))
+    return docs.join(staged(kept, "kept"), F.col(row) == F.col("_kept"), "left_semi").drop(row)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
