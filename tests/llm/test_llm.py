@@ -11,7 +11,6 @@ import zlib
 from collections import defaultdict
 
 import duckdb
-import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -166,24 +165,44 @@ def shingles(text: str | None, width: int) -> frozenset:
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-@pytest.mark.parametrize("which,width,least", [("docs", 3, 90), ("docs", 5, 80), ("docs", 3, 50), ("odd", 3, 90)])
-def test_jaccard(request, which, width, least):
-    df = request.getfixturevalue(which)
-    every = [(d, shingles(t, width)) for d, t in rows(df)]
-    root = {d: d for d, _ in every}
+def components(every: list[tuple[int, str | None]], width: int, least: int) -> dict[int, int]:
+    """The least doc_id that each can reach, by comparing all pairs."""
+    root, own = {d: d for d, _ in every}, [(d, shingles(t, width)) for d, t in every]
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    for i, (a, x) in enumerate(every):
-        for b, y in every[:i]:
+    for i, (a, x) in enumerate(own):
+        for b, y in own[:i]:
             if x and y and 100 * len(x & y) >= least * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
+    return {d: find(d) for d in root}
+
+
+@pytest.mark.parametrize("which,width,least", [("docs", 3, 90), ("docs", 5, 80), ("docs", 3, 50), ("odd", 3, 90)])
+def test_jaccard(request, which, width, least):
+    df = request.getfixturevalue(which)
+    found = components(rows(df), width, least)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(df, width, least).collect())
-    assert got == sorted((d, len(s), find(d)) for d, s in every)
+    assert got == sorted((d, len(shingles(t, width)), found[d]) for d, t in rows(df))
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Families of texts around common passages: buckets beyond those that are listed, and links that only a tile or a count finds."""
+    rng = random.Random(8)
+    common = [" ".join(rng.choices("red green blue cold warm old new big small round".split(), k=25)) for _ in range(4)]
+    texts = []
+    for i in range(240):
+        words = (rng.choice(common) + " " + " ".join(rng.choices([f"w{i % 30}_{k}" for k in range(12)], k=12))).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", f"z{i}"])
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for width, least in ((2, 60), (1, 75)):
+        assert {r.doc_id: r.component_id for r in jaccard.linked(df, width, least).collect()} == components(texts, width, least)
 
 
 WIDE = 2**53 + 1
@@ -385,13 +404,38 @@ def test_packing(request, which):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, odd, docs):
+def test_pipeline_stages(spark, odd, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        got = stage(spark, docs, SF)
-        assert got.columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
         assert stage(spark, odd, SF).columns == odd.columns, name
-    kept = corpus_pipeline.one_of_each(spark, docs, SF)
-    groups = jaccard.linked(docs).toPandas()
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(groups[groups.doc_id == groups.component_id].doc_id)
-    out = corpus_pipeline.run(spark, SF).toPandas()
-    assert isinstance(out, pd.DataFrame) and out.doc_id.nunique() <= docs.count() and len(out)
+    kept = corpus_pipeline.one_of_each(spark, odd, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id in (1, 2, 5)) == [(1, PASSAGE * 3), (5, "x")]
+    other = spark.createDataFrame([(1, "one text of its own"), (1, "quite another text"), (None, "one text of its own")], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.one_of_each(spark, other, SF).collect())) == [(1, "one text of its own"), (1, "quite another text")]
+
+
+def test_pipeline_against_plain_versions(spark, docs):
+    every = rows(docs)
+    model = language.fitted(docs)
+    judged = {d: model.predict([t])[1][0] >= model.least for d, t in every if t and any(map(str.isalpha, t))}
+    left = [(d, t) for d, t in every if judged.get(d)]
+    found = components(left, jaccard.WIDTH, jaccard.LEAST)
+    left = [(d, t) for d, t in left if found[d] == d]
+    items = [(str(r.item_id), decontamination.canonical(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bench = decontamination.Benchmark([i for i, x in items if x], [x for _, x in items if x])
+    left = [(d, t) for d, t in left if not bench.hits([decontamination.canonical(t)])]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(left, "doc_id long, text string")).collect()}
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(int)
+    for d, t in left:
+        out, at = "", 0
+        for kind, start, end in (x.split(":") for x in spans[d].split(",") if x):
+            if int(start) >= at:
+                out += t[at : int(start)] + f"[{kind.upper()}]"
+            at = max(at, int(end))
+        ids = [*tokenizer.encode(out + t[at:], add_special_tokens=False).ids, 0]
+        for k, low in enumerate(range(0, len(ids), 2048)):
+            want[d, k, low, len(ids[low : low + 2048]), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[low : low + 2048]))] += 1
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
+    assert got == want
