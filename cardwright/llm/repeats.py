@@ -6,8 +6,9 @@ digits are wide, so there are three of them, and a digit is ordered by its hash:
 
 1. the first 32 bytes. A window is out as soon as any 32 bytes in it stand nowhere else, so the grams which are looked at
    here are those whose hash is 0 in three bits, some eight in each window; a window without any goes on;
-2. the first 64 bytes: the groups of two or more get a number, those of one are done;
-3. all WIDTH bytes, within the group that the pass before has found.
+2. the first 64 bytes: the groups of two or more get a number, those of one are done. The 64 bytes that end a window are
+   numbered with them;
+3. the 64 bytes that end it, by their number, within the group of the pass before. So all WIDTH bytes are compared.
 
 Documents stand in order of doc_id in blocks of some MB, a row each, so of two blocks the one with the lower number is the
 earlier. A pass looks inside each block first, where equal digits are one record; so a passage that a third of all
@@ -15,9 +16,8 @@ documents hold is sent once by each block. Records go to buckets, packed by colu
 block with a bit, or a group's number, for each record. What shares its digits with other windows of its own block alone is
 settled there.
 
-Digits are compared by hashes, of 43 bits in the first two passes and 48 in the last. Windows are equal if they agree in
-the 43 bits of their first 64 bytes and the other 48 of all; the bits of the first pass only spare work. No bytes are
-compared across blocks.
+The 32 and 64 bytes are compared by 43 bits of their hashes, then by numbers: equal windows agree in the 43 bits of their
+first 64 bytes and the 43 of their last. The bits of the first pass only spare work. No bytes are compared across blocks.
 
 Defined results: a null text is an empty one. The earlier of two windows is that of the smaller doc_id (null first), then,
 for rows that repeat a doc_id, that of the text with the smaller hash. Texts are read whole; texts under WIDTH bytes lose
@@ -52,7 +52,6 @@ CHUNK = 1 << 14
 #: A digit is a hash without so many low bits, where a sort keeps the place; so larger blocks sort more slowly.
 SPARE = 21
 KEYS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-MASK = np.uint64((1 << 48) - 1)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -102,7 +101,7 @@ def joined(h: np.ndarray, reach: int, key: int) -> np.ndarray:
 
 def packed(numbers: np.ndarray, width: int = 8) -> bytes:
     """Numbers as zstd of their bytes, all first bytes first."""
-    return zstandard.ZstdCompressor(level=-3).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def unpacked(data: bytes, n: int, width: int = 8) -> np.ndarray:
@@ -175,8 +174,9 @@ class Block:
         """The hashes of 64 bytes."""
         return mixed(self.first[place] * KEYS[3] + self.first[place + FIRST])
 
-    def windows(self, buckets: int, notes: Notes) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the windows that the first pass leaves, and the hashes of their first 64 bytes."""
+    def windows(self, buckets: int, notes: Notes) -> tuple[np.ndarray, Sent, np.ndarray]:
+        """Places of the windows that the first pass leaves; the digits of the 64 bytes with which one begins or ends; and
+        which of the places that have a digit each place of the text is."""
         at, digit = self.grams()
         sent = Sent.of(digit, buckets)
         alone = at[~(notes.bits(1, sent) | (sent.many > 1))[sent.index]]
@@ -184,11 +184,11 @@ class Block:
         np.add.at(gone, np.maximum(alone - (WIDTH - FIRST), 0), np.int32(1))
         np.add.at(gone, alone + 1, np.int32(-1))
         place = self.inside(np.flatnonzero(np.cumsum(gone[:-1], dtype=np.int32) == 0), WIDTH)
-        return place, self.second(place)
-
-    def whole_digits(self, place: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """48 bits of the whole windows."""
-        return mixed(second * KEYS[2] + self.second(place + (WIDTH - SECOND))) & MASK
+        marked = np.zeros(len(self.whole) + 1, bool)
+        marked[place] = True
+        marked[place + (WIDTH - SECOND)] = True
+        every = np.flatnonzero(marked)
+        return place, Sent.of(self.second(every) >> np.uint64(SPARE), buckets), np.cumsum(marked, dtype=np.int32) - 1
 
 
 def cuts_of(bucket: np.ndarray) -> tuple[list[int], list[int]]:
@@ -292,10 +292,10 @@ def last_judged(rows: pd.DataFrame) -> pd.DataFrame:
     trim()
     rows = rows.sort_values("block")
     halves = [(unpacked(x[8 : 8 + k], n, 4), unpacked(x[8 + k :], n, 6)) for x, n in zip(rows["data"], rows["n"]) for k in [int.from_bytes(x[:8], "little")]]
-    group, digit = np.concatenate([np.cumsum(g) for g, _ in halves]), np.concatenate([d for _, d in halves])
-    # groups are numbers up to those of the bucket's records, so what they and the digits fill of 64 bits is sorted at once
-    order = np.argsort(group << np.uint64(48) | digit, kind="stable") if group.max(initial=0) < 1 << 16 else np.lexsort((digit, group))
-    g, d = group[order], digit[order]
+    group, end = np.concatenate([np.cumsum(g) for g, _ in halves]), np.concatenate([d for _, d in halves])
+    bits = int(end.max(initial=0)).bit_length()  # what both fill of 64 bits is sorted at once; stable, so earlier blocks come first
+    order = np.argsort(group << np.uint64(bits) | end, kind="stable") if int(group.max(initial=0)).bit_length() + bits <= 64 else np.lexsort((end, group))
+    g, d = group[order], end[order]
     late = np.zeros(len(order), bool)
     late[order[1:]] = (g[1:] == g[:-1]) & (d[1:] == d[:-1])
     out, at = [], 0
@@ -314,32 +314,33 @@ class Windows:
     kind: np.ndarray  # which of the distinct ones
     bucket: np.ndarray  # of the distinct ones which other blocks may have, as are the next three
     group: np.ndarray
-    digit: np.ndarray
+    end: np.ndarray
     name: np.ndarray
 
     @classmethod
     def of(cls, block: Block, buckets: int, notes: Notes) -> Windows:
-        place, second = block.windows(buckets, notes)
-        sent = Sent.of(second >> np.uint64(SPARE), buckets)
+        place, sent, rank = block.windows(buckets, notes)
         group = notes.numbers(2, sent)
-        stay = ((group > 0) | (sent.many > 1))[sent.index]
-        place, which, second = place[stay], sent.index[stay], second[stay]
-        digit = block.whole_digits(place, second)
+        begin, end = sent.index[rank[place]], sent.index[rank[place + (WIDTH - SECOND)]]
+        several = (group > 0) | (sent.many > 1)
+        stay = several[begin] & several[end]
+        place, begin, end = place[stay], begin[stay], end[stay]
         # equal windows are brought together by a hash of both; should others come between them, the slow way is taken
-        both, order = sorted_with_places(mixed(which.astype(np.uint64) * KEYS[3] + digit) >> np.uint64(SPARE))
-        new = heads(which[order]) | heads(digit[order])
+        both, order = sorted_with_places(mixed(begin.astype(np.uint64) * KEYS[3] + end.astype(np.uint64)) >> np.uint64(SPARE))
+        new = heads(begin[order]) | heads(end[order])
         if (new & ~heads(both)).any():
-            order = np.lexsort((digit, which))
-            new = heads(which[order]) | heads(digit[order])
+            order = np.lexsort((end, begin))
+            new = heads(begin[order]) | heads(end[order])
         lead, kind = order[new], np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         again = np.ones(len(order), bool)
         again[lead] = False
-        name = np.flatnonzero(group[which[lead]] > 0)
+        name = np.flatnonzero((group[begin[lead]] > 0) & (group[end[lead]] > 0))
         lead = lead[name]
-        _, by_group = sorted_with_places(which[lead].astype(np.uint64))  # and so by bucket
+        _, by_group = sorted_with_places(begin[lead].astype(np.uint64))  # and so by bucket
         lead, name = lead[by_group], name[by_group]
-        return cls(place, again, kind, sent.bucket[which[lead]], group[which[lead]], digit[lead], name)
+        first, last = begin[lead], end[lead]
+        return cls(place, again, kind, sent.bucket[first], group[first], group[last] * np.uint64(buckets) + sent.bucket[last].astype(np.uint64), name)
 
     def cuts(self) -> tuple[list[int], list[int]]:
         return cuts_of(self.bucket)
@@ -349,7 +350,7 @@ class Windows:
         out = []
         for b, i, j in zip(names, at, at[1:]):
             groups = packed(steps(self.group[i:j]), 4)
-            out.append((b, block, j - i, len(groups).to_bytes(8, "little") + groups + packed(self.digit[i:j], 6)))
+            out.append((b, block, j - i, len(groups).to_bytes(8, "little") + groups + packed(self.end[i:j], 6)))
         return pd.DataFrame(out, columns=["bucket", "block", "n", "data"])
 
 
@@ -366,7 +367,7 @@ def first_pass(buckets: int):
 def second_pass(buckets: int):
     def run(held: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         trim()
-        return Sent.of(Block.of(held["data"].iloc[0]).windows(buckets, Notes(notes))[1] >> np.uint64(SPARE), buckets).rows(int(held["block"].iloc[0]))
+        return Block.of(held["data"].iloc[0]).windows(buckets, Notes(notes))[1].rows(int(held["block"].iloc[0]))
 
     return run
 
