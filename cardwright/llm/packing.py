@@ -34,8 +34,9 @@ from cardwright.llm.common import named_texts, numbered, small, staged, stepwise
 
 CAPACITY = 2048
 END = 0
-#: Words, and parts of words, in each of the two generations that a worker remembers: some 150 MB in all.
-CACHE_WORDS = 200_000
+#: Words, and as many parts of words, in each of the two generations that a worker remembers, at some 120 bytes each. Fewer
+#: take less memory and more time.
+CACHE_WORDS = 700_000
 
 
 #: A line of letters that normalisation leaves as they are, with marks before and after them, neither "'" nor "<" among
@@ -63,6 +64,7 @@ class Words:
             raise ValueError("a special token could stand in a simple word")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.limit = CACHE_WORDS
         self.known, self.parts = {"": b""}, {"": b""}
         self.old_known: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
@@ -70,9 +72,9 @@ class Words:
 
     def age(self) -> None:
         """Words that were not met since the last time are forgotten."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.limit:
             self.known, self.old_known = {"": b""}, self.known
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > self.limit:
             self.parts, self.old_parts = {"": b""}, self.parts
 
     @staticmethod
@@ -212,11 +214,12 @@ def places(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True, remembered: int = CACHE_WORDS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, its part and its rank there among pieces of its length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, ranks, part = words_of(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        words.limit = remembered
         trim()
         for b in small(batches):
             rows = []
@@ -232,10 +235,10 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
 
 
 @stepwise
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, remembered: int = CACHE_WORDS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and its ids if wanted."""
     spark = docs.sparkSession
-    pieces = staged(tokenised(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, with_ids), "pieces")
+    pieces = staged(tokenised(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, with_ids, remembered), "pieces")
     by_part = staged(pieces.groupBy("part", "length").count(), "piece-counts")
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     before = by_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
