@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cardwright.llm import decontamination, jaccard, language, packing, pii
 from cardwright.session import staged, stepwise
 
+#: Words that a packing worker remembers: fewer than by itself, as the stages before have left the JVM large.
+WORDS = 200_000
 #: SQL can't express the trained and hashed stages; tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
@@ -56,7 +58,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs, with_ids=False, remembered=WORDS)
 
 
 STAGES = [
