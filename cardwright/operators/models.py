@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, IDF, MinMaxScaler, NGram, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -78,8 +78,20 @@ def vectors(df: DataFrame, column: str, width: int, out: str = "vector") -> Data
     return df.withColumn(out, array_to_vector(right.cast("array<double>")))
 
 
+class NotBelow(Transformer):
+    """The vectors of a column, smaller numbers than least made least."""
+
+    def __init__(self, column: str, least: float = 0.0):
+        super().__init__()
+        self.column, self.least = column, least
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.column, array_to_vector(F.transform(vector_to_array(self.column), lambda x: F.greatest(x, F.lit(self.least)))))
+
+
 def zoo(width: int) -> dict[str, Callable[[], list]]:
-    """Learners by name; the features are scaled to [0, 1], as some take no negative ones. Boosting stands for the boosted
+    """Learners by name; the features are scaled to [0, 1] by the training rows, as some take no negative ones. Other rows can
+    lie outside; complement_bayes refuses negative ones there too, so it reads them as 0. Boosting stands for the boosted
     libraries, factorisation machines for the kernel-like ones; extremely random trees have no like here."""
     scaled = MinMaxScaler(inputCol="features", outputCol="scaled")
     given = {"featuresCol": "scaled", "labelCol": "label"}
@@ -95,7 +107,8 @@ def zoo(width: int) -> dict[str, Callable[[], list]]:
         "factors": lambda: FMClassifier(**given, factorSize=4, maxIter=30, seed=7),
         "perceptron": lambda: MultilayerPerceptronClassifier(**given, layers=[width, 16, 2], maxIter=40, seed=7),
     }
-    return {name: (lambda f=f: [scaled, f()]) for name, f in made.items()}
+    within = {"complement_bayes": [NotBelow("scaled")]}
+    return {name: (lambda f=f, more=within.get(name, []): [scaled, *more, f()]) for name, f in made.items()}
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, stages: Callable[[int], list], label: str, out: str, id_: str = "id") -> DataFrame:

@@ -190,3 +190,17 @@ def test_models_know_what_they_were_shown(spark):
     assert all((got[i] > 0.5) == bool(i % 2) for i in range(60)) and all(got[i] == pytest.approx(0.5) for i in range(60, 64))
     with pytest.raises(Exception, match="numbers but"):
         M.vectors(spark.createDataFrame([([1.0, 2.0],)], "v array<double>"), "v", 3).collect()
+
+
+def test_learners_take_rows_outside_the_range_they_were_fitted_on(spark):
+    """The complement rule of naive Bayes refused a row to judge that lay below the training rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = [(i, [float(i % 2), float(1 - i % 2)], float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label double").withColumns({"features": array_to_vector("v"), "weight": F.lit(1.0)})
+    odd = spark.createDataFrame([(1, [2.0, -1.0]), (0, [-1.0, 2.0])], "label int, v array<double>").withColumn("features", array_to_vector("v"))
+    for name in ("complement_bayes", "ridge"):
+        got = Pipeline(stages=M.zoo(2)[name]()).fit(df).transform(odd).select("label", "prediction", vector_to_array("scaled").alias("x")).collect()
+        assert {r.label: r.prediction for r in got} == {1: 1.0, 0: 0.0}, name
+        assert {r.label: r.x for r in got} == ({1: [2.0, 0.0], 0: [0.0, 2.0]} if name == "complement_bayes" else {1: [2.0, -1.0], 0: [-1.0, 2.0]})
