@@ -83,6 +83,13 @@ def curves(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     return got.select(*keys, "n", "positives", F.when(mixed, F.round(F.col("_area") / (F.col("positives") * (F.col("n") - F.col("positives"))), 6)).alias("auc"), F.when(mixed, F.round(F.col("_steps") / F.col("positives"), 6)).alias("ap"))
 
 
+def mean_of_decimals(score: str, digits: int) -> Column:
+    """The mean of scores of so many decimals. They are added as whole numbers: a sum of doubles depends on the order of the
+    rows, and so would the rounding of a mean that lies half way."""
+    unit = 10**digits
+    return F.sum(F.round(F.col(score) * unit).cast("long")) / (F.count(score) * unit)
+
+
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     """0 where there is nothing to find and nothing found."""
     return F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from cardwright.functions import text as T
@@ -83,3 +85,12 @@ def test_components(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], ROWS)
     assert R.percentile_rank(none, ["c"], "s", "r").count() == R.curves(none, ["c"], "s", "y").count() == R.top_fraction(none, ["c"], "s", "id", 0.1, "p").count() == 0
+
+
+def test_means_half_way_do_not_depend_on_the_order_of_rows(spark):
+    """Eight scores whose mean is 0.4541375: a sum of doubles falls short of it in some orders."""
+    scores = [0.2703, 0.5959, 0.5485, 0.7512, 0.6319, 0.2954, 0.2489, 0.291]
+    orders = [random.Random(k).sample(scores, 8) for k in range(40)]
+    df = spark.createDataFrame([(k, float(x)) for k, o in enumerate(orders) for x in o], "k int, s double").coalesce(1)
+    assert {(r.k, r.x) for r in df.groupBy("k").agg(F.round(R.mean_of_decimals("s", 4), 6).alias("x")).collect()} == {(k, 0.454138) for k in range(40)}
+    assert len({r.x for r in df.groupBy("k").agg(F.round(F.avg("s"), 6).alias("x")).collect()}) == 2
