@@ -94,3 +94,20 @@ def test_means_half_way_do_not_depend_on_the_order_of_rows(spark):
     df = spark.createDataFrame([(k, float(x)) for k, o in enumerate(orders) for x in o], "k int, s double").coalesce(1)
     assert {(r.k, r.x) for r in df.groupBy("k").agg(F.round(R.mean_of_decimals("s", 4), 6).alias("x")).collect()} == {(k, 0.454138) for k in range(40)}
     assert len({r.x for r in df.groupBy("k").agg(F.round(F.avg("s"), 6).alias("x")).collect()}) == 2
+
+
+def test_char_weights_count_a_card_for_each_label(spark, tmp_path):
+    """As the SQL does: a document with two labels is two cards, in the counts and in their number."""
+    import duckdb
+
+    from tests.same import same
+
+    docs = [(i, f"common words {'rare' * (i % 3)} n{i % 4}", "en") for i in range(12)]
+    for k, labels in enumerate(([(1, 1, 0), (2, 0, 0), (None, 1, 0), (None, 0, 0)], [(1, 1, 0), (1, 0, 0), (5, 0, 1)])):
+        sf = f"{tmp_path}/{k}"
+        spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{sf}/labels.parquet")
+        con = duckdb.connect()
+        for name in ("documents", "labels"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet/*.parquet'")
+        assert same(catalog.QUERIES["f02_char_tfidf"](spark, sf), con.sql(catalog.ORACLES["f02_char_tfidf"])) == ""

@@ -182,6 +182,31 @@ def test_grams_and_quantised_vectors(spark):
     assert [(r.s, r.q) for r in vec.select(scale.alias("s"), q.alias("q")).collect()] == [(1.0, [0, 0]), (1.0, [127, 2]), (1.0, [-127, 4])]
 
 
+def test_char_weights_in_blocks(spark, monkeypatch):
+    """The same as with a row for each text and term, of which none is written; ids repeat, are null
+    (a join in weighted() drops these), and have no text."""
+    draw = random.Random(5)
+    letters = "abé漢😀\u00a0"
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(60)]
+    rows = [(i % 90 if i != 7 else None, draw.choice(" \n\t").join(draw.choices(words, k=draw.randint(1, 60)))) for i in range(100)] + [(200, None), (201, ""), (202, "qqqq")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    written = []
+    keep = V.staged
+    monkeypatch.setattr(V, "staged", lambda d, name: (lambda made: (written.append(made.count()), made)[1])(keep(d, name)))
+    got = {r.id: r for r in V.char_weighted(df, len(rows), 3, block=6000, with_terms=True).collect()}
+    sent = max(written)
+    plain = V.weighted(V.char_counts(df), len(rows), 3).collect()
+    assert sent < len(plain) / 2
+    by_id = {}
+    for r in plain:
+        by_id.setdefault(r.id, {})[r.t] = (r.w, r.norm)
+    assert set(got) == {*by_id, None} and not {200, 201, 202} & set(got)
+    for i, terms in by_id.items():
+        assert dict(zip(got[i].terms, got[i].weights)) == pytest.approx({t: w for t, (w, _) in terms.items()})
+        assert got[i].n_terms == len(terms) and got[i].norm == pytest.approx(next(iter(terms.values()))[1]) and got[i].top == pytest.approx(max(w for w, _ in terms.values()))
+    assert V.char_weighted(df.limit(0), 0).count() == 0
+
+
 def test_models_know_what_they_were_shown(spark):
     rows = [(i, "k" if i < 60 else "unknown", ("good words here" if i % 2 else "bad text there") + f" n{i % 7}", float(i % 2) if i < 60 else None) for i in range(64)]
     df = spark.createDataFrame(rows, "id long, category string, text string, label double")
